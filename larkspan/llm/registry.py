@@ -1,6 +1,6 @@
 """All queries of this subpackage and their SQL."""
 
-from larkspan.llm import queries_b
+from larkspan.llm import queries_b, queries_c
 
-QUERIES = {**queries_b.QUERIES}
-SQL = {**queries_b.SQL}
+QUERIES = {**queries_b.QUERIES, **queries_c.QUERIES}
+SQL = {**queries_b.SQL, **queries_c.SQL}
