@@ -31,8 +31,8 @@ def _leaf(tokens: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
 
 
-def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """A narrow row for each line that is not blank: doc_id, body (hash of the text), at (its position from 0), line (hash of the masked line), leaf, around (hash of the leaves before and after it)."""
+def line_table(docs: DataFrame, depth: int = DEPTH, tokens: bool = False) -> DataFrame:
+    """A narrow row for each line that is not blank: doc_id, body (hash of the text), at (its position from 0), line (hash of the masked line), leaf, around (hash of the leaves before and after it), and the masked tokens if asked for."""
     # each explode of one struct ends an expression, so that the next one reads its value and does not compute it again for each line
     held = lambda x, **cols: x.select("doc_id", "body", F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("h")).select("doc_id", "body", "h.*")
     x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("body"), "text")
@@ -42,16 +42,20 @@ def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     leaf = lambda j: F.get("k", F.get("at", j))["leaf"]
     rows = F.transform("at", lambda p, j: F.struct(
         p.alias("at"), F.get("k", p)["line"].alias("line"), leaf(j).alias("leaf"),
-        F.xxhash64(leaf(j - 1), leaf(j + 1)).alias("around"), F.get("t", p).alias("tokens")))
+        F.xxhash64(leaf(j - 1), leaf(j + 1)).alias("around"), *([F.get("t", p).alias("tokens")] if tokens else [])))
     return x.select("doc_id", "body", F.explode(rows).alias("f")).select("doc_id", "body", "f.*")
 
 
-def templates(lines: DataFrame, agree: float = AGREE, least: int = LEAST) -> DataFrame:
-    """(leaf, line, template): the template of each masked line that its leaf generalises; other lines are their own template and have no row here."""
+def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, agree: float = AGREE, least: int = LEAST, n_docs: int = DOCS, surroundings: float = SURROUNDINGS) -> DataFrame:
+    """(leaf, line, template): the template of each masked line that its leaf generalises; other lines are their own template and have no row here.
+
+    Only leaves with several lines that as one template would recur are looked at; the tokens of just these lines are read again from docs.
+    """
     many = lines.groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("leaf")
-    own = lines.join(many, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-    own = spool(own, "leaves")
-    at = own.where(F.size("tokens") >= least).select("leaf", F.posexplode("tokens").alias("p", "w")).groupBy("leaf", "p").agg(F.min("w").alias("low"), F.max("w").alias("high"))
+    whole = recurring(lines.select("doc_id", "body", "around", F.col("leaf").alias("template")), n_docs, surroundings).select(F.col("template").alias("leaf"))
+    many = spool(many.join(whole, "leaf", "left_semi"), "leaves")
+    own = spool(line_table(docs, depth, True).where(F.size("tokens") >= least).join(many, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")), "tokens")
+    at = own.select("leaf", F.posexplode("tokens").alias("p", "w")).groupBy("leaf", "p").agg(F.min("w").alias("low"), F.max("w").alias("high"))
     same = F.avg(F.when(F.col("low") == F.col("high"), 1.0).otherwise(0.0))
     good = at.groupBy("leaf").agg(same.alias("same")).where(F.col("same") >= agree).select("leaf")
     return own.select("leaf", "line").join(good, "leaf", "left_semi").withColumn("template", F.col("leaf"))
@@ -73,8 +77,8 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE, least:
     an id. An empty table stays empty. Other columns are kept as they are, n_chars included; lines_dropped must not be among them.
     """
     seen = spool(line_table(docs.select("doc_id", "text"), depth), "lines")
-    made = templates(seen, agree, least)
-    narrow = seen.drop("tokens").join(made.withColumnRenamed("leaf", "own"), "line", "left")
+    made = templates(docs.select("doc_id", "text"), seen, depth, agree, least, n_docs, surroundings)
+    narrow = seen.join(made.withColumnRenamed("leaf", "own"), "line", "left")
     narrow = narrow.select("doc_id", "body", "at", "around", F.coalesce(F.when(F.col("own") == F.col("leaf"), F.col("template")), F.col("line")).alias("template"))
     narrow = spool(narrow, "templates")
     out = narrow.join(recurring(narrow, n_docs, surroundings).select("template"), "template", "left_semi")
