@@ -22,27 +22,27 @@ DOCS, SURROUNDINGS = 4, 0.5
 MASK = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """Trimmed, white space runs as one space, tokens with a digit as <*>."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), r"[^ ]*[0-9][^ ]*", MASK)
+def masked(text: Column) -> Column:
+    """The lines of a text, trimmed, white space runs as one space, tokens with a digit as <*>. Patterns run once over the text and only from the start of a token."""
+    text = F.regexp_replace(F.translate(text, "\t\r\f\v", "    "), " {2,}", " ")
+    return F.transform(F.split(F.regexp_replace(text, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", MASK), "\n"), lambda y: F.trim(y))
 
 
-def _leaf(tokens: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+def _leaf(line: Column, depth: int) -> Column:
+    return F.xxhash64(F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))), F.substring_index(line, " ", depth))
 
 
-def line_table(docs: DataFrame, depth: int = DEPTH, tokens: bool = False) -> DataFrame:
-    """A narrow row for each line that is not blank: doc_id, body (hash of the text), at (its position from 0), line (hash of the masked line), leaf, around (hash of the leaves before and after it), and the masked tokens if asked for."""
+def line_table(docs: DataFrame, depth: int = DEPTH, lines: bool = False) -> DataFrame:
+    """A narrow row for each line that is not blank: doc_id, body (hash of the text), at (its position from 0), line (hash of the masked line), leaf, around (hash of the leaves before and after it), and the masked line if asked for."""
     # each explode of one struct ends an expression, so that the next one reads its value and does not compute it again for each line
     held = lambda x, **cols: x.select("doc_id", "body", F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("h")).select("doc_id", "body", "h.*")
     x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("body"), "text")
-    x = held(x, t=F.transform(F.split("text", "\n"), lambda y: F.split(masked(y), " ")))
-    x = held(x, t=F.col("t"), k=F.transform("t", lambda w: F.struct(F.xxhash64(w).alias("line"), _leaf(w, depth).alias("leaf"))))
-    x = held(x, t=F.col("t"), k=F.col("k"), at=F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i) != F.array(F.lit(""))))
-    leaf = lambda j: F.get("k", F.get("at", j))["leaf"]
+    x = held(x, t=masked(F.col("text")))
+    x = held(x, t=F.col("t"), k=F.transform("t", lambda y: _leaf(y, depth)), at=F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i) != ""))
+    leaf = lambda j: F.get("k", F.get("at", j))
     rows = F.transform("at", lambda p, j: F.struct(
-        p.alias("at"), F.get("k", p)["line"].alias("line"), leaf(j).alias("leaf"),
-        F.xxhash64(leaf(j - 1), leaf(j + 1)).alias("around"), *([F.get("t", p).alias("tokens")] if tokens else [])))
+        p.alias("at"), F.xxhash64(F.get("t", p)).alias("line"), leaf(j).alias("leaf"),
+        F.xxhash64(leaf(j - 1), leaf(j + 1)).alias("around"), *([F.get("t", p).alias("masked")] if lines else [])))
     return x.select("doc_id", "body", F.explode(rows).alias("f")).select("doc_id", "body", "f.*")
 
 
@@ -54,7 +54,10 @@ def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, agree: floa
     many = lines.groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("leaf")
     whole = recurring(lines.select("doc_id", "body", "around", F.col("leaf").alias("template")), n_docs, surroundings).select(F.col("template").alias("leaf"))
     many = spool(many.join(whole, "leaf", "left_semi"), "leaves")
-    own = spool(line_table(docs, depth, True).where(F.size("tokens") >= least).join(many, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")), "tokens")
+    if many.isEmpty():
+        return lines.select("leaf", "line", F.col("leaf").alias("template")).where("false")
+    own = line_table(docs, depth, True).join(many, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
+    own = spool(own.select("leaf", "line", F.split("masked", " ").alias("tokens")).where(F.size("tokens") >= least), "tokens")
     at = own.select("leaf", F.posexplode("tokens").alias("p", "w")).groupBy("leaf", "p").agg(F.min("w").alias("low"), F.max("w").alias("high"))
     same = F.avg(F.when(F.col("low") == F.col("high"), 1.0).otherwise(0.0))
     good = at.groupBy("leaf").agg(same.alias("same")).where(F.col("same") >= agree).select("leaf")
