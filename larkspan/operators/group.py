@@ -136,7 +136,7 @@ class Group:
 
     def apply_reduce(self, f: Callable, kind: str = "double", transform: bool = False) -> DataFrame:
         """f(series) -> scalar, for each column, by group or spread to the rows."""
-        udf = F.pandas_udf(f, kind)
+        udf = F.pandas_udf(f, kind, F.PandasUDFType.GROUPED_AGG)
         if transform:
             return self.df.withColumns({c: udf(c).over(Window.partitionBy(*self.keys)) for c in self.columns})
         return self.df.groupBy(*self.keys).agg(*[udf(c).alias(c) for c in self.columns])

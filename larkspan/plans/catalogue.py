@@ -1,4 +1,6 @@
 """All queries of the engine with their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from larkspan.plans import grouped, joined, ordered, shaped
+
+QUERIES: dict = {**grouped.Q, **joined.Q, **ordered.Q, **shaped.Q}
+SQL: dict = {**grouped.SQL, **joined.SQL, **ordered.SQL, **shaped.SQL}
