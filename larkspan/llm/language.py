@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.llm.shared import named, numbered
+
 #: n-grams in a profile and in a document's list.
 PROFILE = 400
 #: About so many documents of each language are read to fit its profile, chosen by a hash of the id.
@@ -116,8 +118,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PR
     """docs plus lang_pred (a language of the profiles, or und) and lang_score (1: all n-grams in place, 0: none known).
 
     Reads nothing but text, the whole of it. Null and empty texts, texts without a letter, and all texts if there are no profiles: und, 0.
-    Equal distances go to the first language by name. Repeated rows stay; an empty table stays empty. Any other columns are kept;
-    lang_pred and lang_score must not be among them.
+    Equal distances go to the first language by name. Repeated rows stay; an empty table stays empty. Any other columns are kept, whatever
+    their names; lang_pred and lang_score replace columns of these names.
     """
     from pyspark.sql import types as T
 
@@ -127,4 +129,5 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PR
             langs, scores = judge(texts, profiles, profile)
             yield pd.DataFrame({"lang_pred": langs, "lang_score": scores})
 
-    return docs.withColumn("lang_found", guess("text")).select(*docs.columns, "lang_found.lang_pred", "lang_found.lang_score")
+    x, at = numbered(docs)
+    return named(x.withColumn("found", guess(at["text"])), at, lang_pred=F.col("found.lang_pred"), lang_score=F.col("found.lang_score"))

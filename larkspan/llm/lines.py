@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.shared import spool
+from larkspan.llm.shared import named, numbered, spool
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -77,7 +77,8 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE, least:
 
     Lines are parted by \\n and joined by it; blank lines stay. Null texts stay null, empty texts empty, with 0 dropped. A template that
     recurs inside one document only stays. Rows with the same id and text count as one document and get the same result; null ids are
-    an id. An empty table stays empty. Other columns are kept as they are, n_chars included; lines_dropped must not be among them.
+    an id. An empty table stays empty. Other columns are kept as they are, n_chars
+    included, whatever their names; lines_dropped replaces a column of that name.
     """
     seen = spool(line_table(docs.select("doc_id", "text"), depth), "lines")
     made = templates(docs.select("doc_id", "text"), seen, depth, agree, least, n_docs, surroundings)
@@ -86,7 +87,9 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE, least:
     narrow = spool(narrow, "templates")
     out = narrow.join(recurring(narrow, n_docs, surroundings).select("template"), "template", "left_semi")
     out = out.groupBy("doc_id", "body").agg(F.collect_set("at").alias("out")).select(F.col("doc_id").alias("out_id"), F.col("body").alias("out_body"), "out")
-    x = docs.withColumn("lines_body", F.xxhash64("text")).join(out, F.col("doc_id").eqNullSafe(F.col("out_id")) & (F.col("lines_body") == F.col("out_body")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda y, i: ~F.array_contains("out", i)), "\n")
-    text = F.when(F.col("out").isNotNull(), kept).otherwise(F.col("text"))
-    return x.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("out"), F.lit(0)).alias("lines_dropped"))
+    x, at = numbered(docs)
+    x = x.withColumn("own_body", F.xxhash64(at["text"])).join(out, F.col(at["doc_id"]).eqNullSafe(F.col("out_id")) & (F.col("own_body") == F.col("out_body")), "left")
+    kept = F.array_join(F.filter(F.split(at["text"], "\n"), lambda y, i: ~F.array_contains("out", i)), "\n")
+    text = F.when(F.col("out").isNotNull(), kept).otherwise(F.col(at["text"]))
+    x = x.withColumn(at["text"], text)
+    return named(x, at, lines_dropped=F.coalesce(F.size("out"), F.lit(0)))

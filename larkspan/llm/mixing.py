@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.shared import WORD, spool
+from larkspan.llm.shared import WORD, named, numbered, spool
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -42,13 +42,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, seed: int = 17, bu
     copies of a document are its source's target over its size; prefix sums run inside (source, class, bucket) and over the sums
     of these blocks, so that no task gets a source. Nulls: a null text has size 0, a null source is a source, null ids are alike.
     Repeated rows and ids count each. Sources of size 0 have target 0 and are not taken. Same rows, same result. An empty table stays empty.
-    Names of other columns are free, but for those starting with mix_.
+    Other columns are kept, whatever their
+    names; the four replace columns of these names.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    x = docs.withColumn("mix_size", size)
+    x, at = numbered(docs)
+    x = x.withColumns({"source": F.col(at["source"]), "mix_size": F.coalesce(F.regexp_count(at["text"], F.lit(WORD)), F.lit(0)).cast("long")})
     x = x.withColumns({
         "mix_class": F.when(F.col("mix_size") > 0, F.floor(F.log2(F.col("mix_size").cast("double")) * 32)).otherwise(F.lit(-1)).cast("int"),
-        "mix_bucket": F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(buckets)).cast("int"),
+        "mix_bucket": F.pmod(F.xxhash64(F.col(at["doc_id"]), F.lit(seed)), F.lit(buckets)).cast("int"),
     })
     key = ["source", "mix_class", "mix_bucket"]
     blocks = spool(x.groupBy(*key).agg(F.count("*").alias("n"), F.sum("mix_size").alias("words")), "blocks")
@@ -58,16 +59,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, seed: int = 17, bu
     before = Window.partitionBy("source").orderBy("mix_class", "mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     b = blocks.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_before"))
     b = b.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(*[F.col(k).alias(f"b_{k}") for k in key], "mix_before", "mix_source_size", "mix_target", "mix_each")
-    inside = Window.partitionBy(*key).orderBy("mix_size", "doc_id", F.xxhash64("text"))
+    inside = Window.partitionBy(*key).orderBy("mix_size", at["doc_id"], F.xxhash64(at["text"]))
     x = x.withColumn("mix_row", F.row_number().over(inside))
     x = x.join(b, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("mix_class") == F.col("b_mix_class")) & (F.col("mix_bucket") == F.col("b_mix_bucket")))
     offset = F.pmod(F.xxhash64(F.col("source"), F.lit(seed + 1)), F.lit(UNIT))
     whole = lambda n: F.shiftright(n * F.col("mix_each") + offset, 24)
     last = F.col("mix_before") + F.col("mix_row")
     copies = whole(last) - whole(last - 1)
-    return x.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
+    return named(x, at, mix_size=F.col("mix_size"), mix_source_size=F.col("mix_source_size"), mix_target=F.col("mix_target"), mix_copies=copies)
 
 
 def copies(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    return mix(docs, **how).where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    x, at = numbered(docs)
+    own = {c: at[c] for c in ("doc_id", "source", "text")}
+    x = mix(x.withColumnsRenamed({k: c for c, k in own.items()}), **how).where("mix_copies > 0")
+    x = x.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return x.select(*[F.col(c if c in own else k).alias(c) for c, k in at.items()])

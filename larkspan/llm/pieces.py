@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm.shared import named, numbered
+
 #: The default model; any SentencePiece unigram or BPE model will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The white space marker of SentencePiece. Fixed value.
@@ -164,14 +166,17 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, check_every: i
     The model file is read once by the driver and sent along; its size is that of a vocabulary. Whole texts, in batches of `rows`, no special
     pieces added. parity: whether sentencepiece gives the same ids; it is asked for every document whose xxhash64 of the text is
     divisible by check_every (1: for all), for others parity is null. Null texts: all four null. Empty texts: no ids, true. Repeated rows stay,
-    an empty table stays empty; other columns are kept, whatever their names but the four. decoded_ok is false where a model's
+    an empty table stays empty; other columns are kept, whatever their names; the four
+    replace columns of these names. decoded_ok is false where a model's
     normaliser changes the text (or a text starts with the dummy prefix's space, where the model strips it).
     """
     from pyspark.sql import types as T
 
     raw = open(model, "rb").read()
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("decoded_ok", T.BooleanType()), T.StructField("parity", T.BooleanType())])
-    marked = docs.withColumn("asked", F.pmod(F.xxhash64("text"), F.lit(check_every)) == 0)
+    kept = [f for f in docs.schema.fields if f.name not in ("ids", "n_pieces", "decoded_ok", "parity")]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("decoded_ok", T.BooleanType()), T.StructField("parity", T.BooleanType())])
+    x, at = numbered(docs)
+    marked = x.select(*[at[f.name] for f in kept], F.col(at["text"]).alias("text"), (F.pmod(F.xxhash64(at["text"]), F.lit(check_every)) == 0).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -179,8 +184,8 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, check_every: i
 
         coder, judge = Words(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
         for whole in batches:
-            for at in range(0, len(whole), rows):
-                b = whole.slice(at, rows)
+            for start in range(0, len(whole), rows):
+                b = whole.slice(start, rows)
                 texts = b.column("text").to_pylist()
                 there = [i for i, t in enumerate(texts) if t is not None]
                 given = [texts[i] for i in there]
@@ -194,8 +199,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, check_every: i
                     if asked[i]:
                         same[i] = judge.encode(t) == x
                 more = [pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(ok, pa.bool_()), pa.array(same, pa.bool_())]
-                kept = [b.column(i) for i, n in enumerate(b.schema.names) if n != "asked" or i < len(b.schema.names) - 1]
-                yield pa.RecordBatch.from_arrays([*kept, *more], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(schema.names) - 4], *more], names=schema.names)
 
     return marked.mapInArrow(run, schema)
 
@@ -229,4 +233,5 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
         texts = tok.decode_batch([list(map(int, x)) for x in ids[there]], skip_special_tokens=False)
         return pd.Series(texts, ids.index[there], dtype=object).reindex(ids.index)
 
-    return rows.withColumn("decoded", back("ids"))
+    x, at = numbered(rows)
+    return named(x, at, decoded=back(at["ids"]))

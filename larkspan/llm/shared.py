@@ -29,6 +29,17 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns called c0, c1 and so on, and what each is called now: no name of an operator's own columns can clash with one of df."""
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), at
+
+
+def named(x: DataFrame, at: dict[str, str], **added) -> DataFrame:
+    """The columns of numbered() under their names, but for those of the same name as one that is added."""
+    return x.select(*[F.col(k).alias(c) for c, k in at.items() if c not in added], *[v.alias(c) for c, v in added.items()])
+
+
 def lower_ascii(c):
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
