@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,8 +223,6 @@ def decode_batch(coder: Words, found: list[list[int]]) -> list[str]:
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """rows plus decoded, the text of ids, by the tokenizers library's own decoder, multithreaded. Null ids: null; no ids: empty. Other columns are kept."""
-    import pandas as pd
-
     raw = open(model, "rb").read()
 
     @F.pandas_udf("string")
