@@ -167,7 +167,10 @@ def blocks(page: list, template: dict[str, int], inside: list[tuple[bool, bool]]
         name = tag.name
         k = template.get(role)
         if k is not None:
-            flush()
+            if name in BLOCK or skip or inside[k] != (chrome, main):
+                flush()
+            elif name in VOID:
+                run.append(" ")
             (chrome, main), skip, depth = inside[k], "", 0
             if name in MAIN:
                 own_main = 0
