@@ -150,6 +150,36 @@ def test_simhash_brute(spark, data):
     assert low.tolist() == got["component_id"].tolist()
 
 
+def test_alike_planted(spark, data):
+    """Near copies of 0.8 or more are found, clean documents stay alone; a large group of near copies is one component."""
+    rng = np.random.default_rng(6)
+    base = [r[0].split() for r in spark.read.parquet(f"{data}/documents.parquet").where("length(text) between 1200 and 6000").orderBy("doc_id").select("text").limit(40).collect()]
+    rows, want = [], {}
+    for i, w in enumerate(base):
+        for k in range(60 if i == 0 else 3):
+            v = list(w)
+            for at in rng.choice(len(v), max(1, len(v) // 100) if k else 0, replace=False):
+                v[at] = f"edit{rng.integers(1 << 30)}"
+            rows.append((1000 * i + k, " ".join(v)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    s = {k: set(simhash.shingle_set(t.translate({c: c + 32 for c in range(65, 91)}), 5).tolist()) for k, t in rows}
+    j = lambda a, b: len(s[a] & s[b]) / len(s[a] | s[b])
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.alike(d).collect()}
+    first = {k: k // 1000 * 1000 for k in s}
+    near = [k for k in s if k != first[k] and j(k, first[k]) >= 0.8]
+    assert len(near) > 100 and sum(comp[k] == first[k] for k in near) >= 0.95 * len(near)
+    ids = sorted(s)
+    assert all(comp[a] != comp[b] or comp[a] // 1000 == comp[b] // 1000 for a in ids[::7] for b in ids[::7])
+    for k in ids:
+        if comp[k] != k:
+            assert max(j(k, o) for o in ids if o != k) >= 0.8
+
+
+def test_forest():
+    a, b, far = np.array([1, 2, 3, 1, 9]), np.array([2, 3, 1, 4, 8]), np.array([5, 1, 2, 3, 0])
+    assert sorted(zip(a[(k := simhash.forest(a, b, far))].tolist(), b[k].tolist())) == [(1, 4), (2, 3), (3, 1), (9, 8)]
+
+
 def test_simhash_odd(spark):
     d = odd(spark)
     got = {r["doc_id"]: r for r in simhash.groups(d).collect()}

@@ -21,7 +21,7 @@ def test_stages(spark, data, tmp_path):
         if name == "lines":
             assert out.count() == docs.count() and out.where("n_chars <> char_length(text)").count() == 0
         if name == "near_duplicates":
-            groups = simhash.groups(docs, 5)
+            groups = simhash.alike(docs)
             assert {r[0] for r in out.select("doc_id").collect()} == {r[0] for r in groups.select("component_id").distinct().collect()}
         if name == "mix":
             assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
