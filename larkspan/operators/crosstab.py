@@ -149,3 +149,25 @@ def rare(df: DataFrame, column: str, least: int, misc="misc", name: str | None =
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(F.col(column).alias("_v"))
     x = df.join(counts, F.col(column).eqNullSafe(F.col("_v")), "left")
     return x.withColumn(name or column, F.when(F.col("_v").isNotNull(), F.col("_v")).otherwise(F.lit(misc))).drop("_v")
+
+
+def compose(tables: dict[str, DataFrame], row: str, margins: Iterable[str], footers: Iterable[str], names: Iterable) -> DataFrame:
+    """Several cross-tables as one: the inner table is the first, the Total columns of `margins` stand beside it, the total rows of `footers` below it (kind: the table's name)."""
+    inner, *_ = tables
+    names = [str(n) for n in names]
+    out = tables[inner].where("not is_total").select(row, *names)
+    for m in margins:
+        side = tables[m].where("not is_total").select(F.col(row).alias("_row"), F.col(TOTAL).alias(m))
+        out = out.join(side, F.col(row).eqNullSafe(F.col("_row")), "left").drop("_row")
+    out = out.withColumn("kind", F.lit("cells"))
+    for f in footers:
+        below = tables[f].where("is_total").select(F.lit(None).cast(out.schema[row].dataType).alias(row), *names, F.lit(f).alias("kind"))
+        out = out.unionByName(below, allowMissingColumns=True)
+    return out
+
+
+def matrix_apply(df: DataFrame, columns: Iterable[str], f: Callable[[Column], Column]) -> DataFrame:
+    """f over the array of each row's columns, back as columns of the same names."""
+    names = list(columns)
+    x = df.withColumn("_m", f(F.array(*[F.col(c).cast("double") for c in names])))
+    return x.withColumns({c: F.get("_m", F.lit(i)) for i, c in enumerate(names)}).drop("_m")

@@ -201,3 +201,30 @@ def outliers(df: DataFrame, key: str, columns: Iterable[str] | None = None) -> D
     names = [c for c in columns or numeric(df) if c != key]
     one = df.agg(*[F.struct(F.lit(c).alias("column"), F.min_by(key, F.struct(c, key)).alias("low_key"), F.min(c).cast("double").alias("low"), F.max_by(key, F.struct(c, key)).alias("high_key"), F.max(c).cast("double").alias("high")).alias(c) for c in names])
     return one.select(F.explode(F.array(*names)).alias("x")).select("x.*")
+
+
+def take_ids(df: DataFrame, ids: DataFrame, key: str, position: str) -> DataFrame:
+    """Rows by a table of keys in a wanted order, as often as they are asked for; keys that are not there give missing values."""
+    want = ids.select(F.col(key).alias("_want"), F.col(position).alias("_at"))
+    x = want.join(df, F.col("_want") == F.col(key), "left")
+    return x.withColumn(position, F.col("_at")).drop("_want", "_at")
+
+
+def vertical(tables: dict[str, DataFrame], source: str = "member") -> DataFrame:
+    """Members of a container below one another, named in a column."""
+    from larkspan.operators.stack import concat_rows
+
+    return concat_rows(*tables.values(), source=source, names=list(tables))
+
+
+def horizontal(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """Members beside one another by key, columns called member_column."""
+    out = None
+    for name, df in tables.items():
+        df = df.select(F.col(key), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != key])
+        out = df if out is None else out.join(df, key, "full_outer")
+    return out
+
+
+def cascade(tables: dict[str, DataFrame], f: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    return {k: f(v) for k, v in tables.items()}

@@ -8,6 +8,7 @@ from larkspan.functions import aggregates as A
 from larkspan.functions import math as M
 from larkspan.functions import strings as S
 from larkspan.functions import temporal as D
+from larkspan.operators import category as C
 from larkspan.operators import crosstab as X
 from larkspan.operators import select
 from larkspan.plans.grouped import rounded, table
@@ -241,3 +242,55 @@ def normalize(spark, sf):
 def winsorize(spark, sf):
     x = M.winsorize(table(spark, sf, "events", "event_id", "event_type", "value"), "value", 0.1, 0.9, "event_type", "clipped")
     return M.trim_groups(x, "value", "event_type", 0.1, 0.9, "kept").select("event_id", F.round("clipped", 6).alias("clipped"), "kept")
+
+
+@query("select o_orderkey, case when o_totalprice > 1000 then dense_rank() over (order by o_orderpriority) else 0 end as code, case when o_totalprice > 1000 then o_orderpriority else 'Filtered' end as label from orders")
+def category_codes(spark, sf):
+    x = table(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_totalprice")
+    dim = C.dimension(x, "o_orderpriority")
+    return C.decode(C.encode(x, "o_orderpriority", dim, F.col("o_totalprice") > 1000), dim).select("o_orderkey", "code", "label")
+
+
+@query("select case when o_totalprice > 100000 then o_orderpriority else 'Filtered' end as priority, count(*) as n from orders group by 1")
+def category_shown(spark, sf):
+    x = table(spark, sf, "orders", "o_orderpriority", "o_totalprice")
+    return x.groupBy(C.shown(F.col("o_orderpriority"), F.col("o_totalprice") > 100000).alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select c_custkey, case c_nationkey when 0 then 'zero' when 1 then 'one' else '!<' || c_nationkey || '>' end as label from customer")
+def category_mapped(spark, sf):
+    return C.mapped(table(spark, sf, "customer", "c_custkey", "c_nationkey"), "c_nationkey", {0: "zero", 1: "one"}).drop("c_nationkey")
+
+
+@query("""with g as (select l_returnflag, l_linestatus, grouping(l_returnflag) as r, grouping(l_linestatus) as c, round(sum(l_quantity), 4) as s, round(avg(l_quantity), 4) as m from lineitem group by cube (l_returnflag, l_linestatus))
+select l_returnflag, max(s) filter (where l_linestatus = 'F' and c = 0) as "F", max(s) filter (where l_linestatus = 'O' and c = 0) as "O", max(m) filter (where c = 1) as mean, 'cells' as kind from g where r = 0 group by l_returnflag
+union all select null, max(m) filter (where l_linestatus = 'F' and c = 0), max(m) filter (where l_linestatus = 'O' and c = 0), null, 'mean' from g where r = 1""")
+def accum_table(spark, sf):
+    x = lines(spark, sf)
+    made = {"total": X.crosstab(x, "l_returnflag", "l_linestatus", A.nansum, "l_quantity", STATUS), "mean": X.crosstab(x, "l_returnflag", "l_linestatus", A.nanmean, "l_quantity", STATUS)}
+    return rounded(X.compose(made, "l_returnflag", ["mean"], ["mean"], STATUS))
+
+
+@query("select key, value from (select 'l_tax' as key, round(sum(l_tax), 4) as value from lineitem union all select 'l_discount', round(sum(l_discount), 4) from lineitem)")
+def transpose(spark, sf):
+    x = table(spark, sf, "lineitem", "l_tax", "l_discount").agg(F.sum("l_tax").alias("l_tax"), F.sum("l_discount").alias("l_discount")).withColumn("name", F.lit("value"))
+    return rounded(X.transpose(x, "name").withColumnRenamed("column", "key"))
+
+
+@query("select member, r_name as name, r_regionkey as number from (select 'region' as member, r_name, r_regionkey from region union all select 'nation', n_name, n_regionkey from nation)")
+def container_vertical(spark, sf):
+    members = {"region": table(spark, sf, "region", "r_name", "r_regionkey").toDF("name", "number"), "nation": table(spark, sf, "nation", "n_name", "n_regionkey").toDF("name", "number")}
+    return select.vertical(members)
+
+
+@query("select coalesce(a.k, b.k) as k, a_n, b_n from (select o_custkey as k, count(*) as a_n from orders where o_orderstatus = 'F' group by 1) a full join (select o_custkey as k, count(*) as b_n from orders where o_orderstatus = 'O' group by 1) b on a.k = b.k")
+def container_horizontal(spark, sf):
+    o = table(spark, sf, "orders", "o_custkey", "o_orderstatus")
+    count = lambda s: o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return select.horizontal({"a": count("F"), "b": count("O")}, "k")
+
+
+@query("select i as at, c_custkey, c_name from (values (0, 5), (1, 3), (2, 5), (3, -1)) v(i, k) left join customer on c_custkey = k")
+def take_by_position(spark, sf):
+    want = spark.createDataFrame([(0, 5), (1, 3), (2, 5), (3, -1)], "at int, c_custkey long")
+    return select.take_ids(table(spark, sf, "customer", "c_custkey", "c_name"), want, "c_custkey", "at")

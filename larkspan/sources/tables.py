@@ -129,3 +129,38 @@ def sequence(spark: SparkSession, start: int, stop: int, step: int = 1, name: st
 def tile(df: DataFrame, n: int) -> DataFrame:
     """Rows of df n times over, as one scan."""
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("_copy")
+
+
+def from_pandas(spark: SparkSession, frame) -> DataFrame:
+    """NaN and NaT become NULL."""
+    return ingest(spark.createDataFrame(frame))
+
+
+def from_arrow(spark: SparkSession, table) -> DataFrame:
+    return spark.createDataFrame(table)
+
+
+def to_arrow(df: DataFrame):
+    """The whole table on the driver: for results, not for data."""
+    return df.toArrow()
+
+
+def to_rows(df: DataFrame):
+    """Rows as dicts, partition by partition."""
+    for r in df.toLocalIterator():
+        yield r.asDict(recursive=True)
+
+
+def read_h5(spark: SparkSession, paths: list[str], dataset: str, schema: str, where: str | None = None) -> DataFrame:
+    """HDF5 tables, one file a task, where the h5py package is there on the executors and the paths are on a shared file system."""
+    def run(batches):
+        import h5py
+        import pandas as pd
+
+        for b in batches:
+            for p in b["path"]:
+                with h5py.File(p, "r") as f:
+                    yield pd.DataFrame(f[dataset][:])
+
+    df = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path").mapInPandas(run, schema)
+    return ingest(df.where(where) if where else df)
