@@ -129,7 +129,8 @@ def ema(df: DataFrame, column: str, keys, order: str, rate: float, how: str = "d
     x = df.withColumn("_x", F.col(column).cast("double") if keep is None else F.when(keep, F.col(column).cast("double")))
     x = x.withColumn("_t", (F.col(time) if time else F.lit(0)).cast("double")).withColumn("_z", F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False))
     rest = [c for c in df.columns if c not in keys]
-    packed = x.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_t").alias("t"), F.col("_x").alias("x"), F.col("_z").alias("z"), F.struct(*rest).alias("r")))).alias("g")) if keys else x.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_t").alias("t"), F.col("_x").alias("x"), F.col("_z").alias("z"), F.struct(*rest).alias("r")))).alias("g"))
+    row = F.struct(F.col(order).alias("o"), F.col("_t").alias("t"), F.col("_x").alias("x"), F.col("_z").alias("z"), F.struct(*rest).alias("r"))
+    packed = x.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_g"))
 
     def step(s: Column, r: Column) -> Column:
         dt = r["t"] - s["t"]
@@ -141,9 +142,9 @@ def ema(df: DataFrame, column: str, keys, order: str, rate: float, how: str = "d
         return F.struct(r["t"].alias("t"), value.alias("v"), (s["n"] + 1).alias("n"), F.concat(s["out"], F.array(value)).alias("out"))
 
     start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0 if how == "decay" else None).cast("double").alias("v"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out"))
-    done = packed.withColumn("e", F.aggregate("g", start, step, lambda s: s["out"]))
-    out = done.select(*keys, F.explode(F.arrays_zip(F.col("g.r").alias("r"), F.col("e").alias("e"))).alias("y"))
-    return out.select(*[F.col(c) if c in keys else F.col("y.r")[c].alias(c) for c in df.columns], F.col("y.e").alias(name))
+    done = packed.withColumn("_e", F.aggregate("_g", start, step, lambda s: s["out"]))
+    out = done.select(*keys, F.explode(F.arrays_zip(F.col("_g.r").alias("r"), F.col("_e").alias("e"))).alias("_y"))
+    return out.select(*[F.col(c) if c in keys else F.col("_y.r")[c].alias(c) for c in df.columns], F.col("_y.e").alias(name))
 
 
 def prefix_sum(df: DataFrame, column: str, order: str, bucket: Column, name: str = "cumsum") -> DataFrame:
