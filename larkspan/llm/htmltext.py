@@ -24,6 +24,8 @@ CHROME = frozenset("head script style noscript template svg math iframe object c
 #: Words of a class, id or role that say the same. Fixed values.
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu topbar toolbar header masthead footer sidebar aside cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login search form comment comments commentlist respond reply replies disqus discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager widget copyright contentinfo complementary".split())
 MAIN = frozenset(("article", "main"))
+#: Those that make even an article no main text.
+REPLIES = frozenset(("comment", "comments", "commentlist", "reply", "replies", "respond"))
 #: Elements that end a block of text. Fixed values.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,16 +38,19 @@ _marks = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 
 
 class Tag:
-    """What matters of a tag: name, opens, chrome, and its key without other attributes."""
+    """What matters of a tag: name, opens, chrome, whether that holds outside articles only (a header), whether a class or id says so, and its key without other attributes."""
 
-    __slots__ = ("name", "opens", "chrome", "key")
+    __slots__ = ("name", "opens", "chrome", "outside", "said", "key")
 
     def __init__(self, raw: str):
         self.name = _name.match(raw)[1].lower()
         self.opens = raw[1] != "/"
         marks = " ".join(a or b or c for a, b, c in _marks.findall(raw)).lower() if self.opens and "=" in raw else ""
         words = set(re.split(r"[^a-z]+", marks)) if marks else ()
-        self.chrome = self.name in CHROME or any(w in CHROME_WORDS for w in words) and self.name not in ("html", "body", "article", "main")
+        own = {w for w in words if w in CHROME_WORDS}
+        self.said = bool(own)
+        self.chrome = self.name in CHROME or (bool(own & REPLIES) if self.name in MAIN else self.said and self.name not in ("html", "body"))
+        self.outside = self.name == "header" or self.name not in CHROME and own == {"header"}
         self.key = f"{'' if self.opens else '/'}{self.name}{' ' + re.sub('[0-9]+', '0', marks) if marks else ''}"
 
 
@@ -55,7 +60,7 @@ _tags: dict[str, Tag] = {}
 def tokens(html: str) -> list[tuple[Tag | None, str | None, str]]:
     """(tag, role, text) in page order: text runs have no tag; comments, declarations and whole raw-text elements are left out. Roles of tags are chains of keys."""
     out: list = []
-    at, chain, stack = 0, "", []
+    at, chain, stack = 0, "", []  # stack: name, chain before, key
     for m in _token.finditer(html):
         a, b = m.span()
         if a > at:
@@ -77,15 +82,16 @@ def tokens(html: str) -> list[tuple[Tag | None, str | None, str]]:
         elif tag.opens:
             out.append((tag, f"{chain}>{tag.key}", ""))
             if raw[-2] != "/":
-                stack.append((name, chain))
+                stack.append((name, chain, tag.key))
                 chain = f"{chain}>{tag.key}"
         else:
+            key = tag.key  # with the marks of the tag it closes
             for k in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
                 if stack[k][0] == name:
-                    chain = stack[k][1]
+                    chain, key = stack[k][1], "/" + stack[k][2]
                     del stack[k:]
                     break
-            out.append((tag, f"{chain}>{tag.key}", ""))
+            out.append((tag, f"{chain}>{key}", ""))
     if at < len(html):
         out.append((None, None, html[at:]))
     return out
@@ -127,20 +133,21 @@ def root(pages: list[list], found: dict[tuple, list[str]]) -> list[str]:
 def gaps(template: list[str]) -> list[tuple[bool, bool]]:
     """For the gap after each of the template's tokens: whether it is enclosed in chrome, and in an article or main element."""
     out, chrome, main = [], [], []
+    keys = {r.rsplit(">", 1)[1] for r in template}
     for role in template:
         key = role.rsplit(">", 1)[1]
         name = key.lstrip("/").split(" ")[0]
         if key[0] == "/":
             for open_ in (chrome, main):
-                if name in open_:
-                    del open_[len(open_) - 1 - open_[::-1].index(name) :]
-        elif name not in VOID and f"/{name}" in {r.rsplit(">", 1)[1] for r in template}:
-            words = set(re.split(r"[^a-z]+", key))
-            if name in MAIN:
-                main.append(name)
+                if key[1:] in open_:
+                    del open_[len(open_) - 1 - open_[::-1].index(key[1:]) :]
+        elif name not in VOID and f"/{key}" in keys:
+            own = CHROME_WORDS.intersection(re.split(r"[^a-z]+", key.partition(" ")[2]))
+            if name in MAIN and not own & REPLIES:
+                main.append(key)
                 chrome.clear()
-            elif not main and (name in CHROME or (words & CHROME_WORDS and name not in ("html", "body"))) or main and name in CHROME - {"header"} or main and words & CHROME_WORDS and name not in CHROME:
-                chrome.append(name)
+            elif name in MAIN or (name in CHROME or own and name not in ("html", "body")) and not (main and (name == "header" or name not in CHROME and own == {"header"})):
+                chrome.append(key)
         out.append((bool(chrome), bool(main)))
     return out
 
@@ -150,7 +157,7 @@ def blocks(page: list, template: dict[str, int], inside: list[tuple[bool, bool]]
     out: list[tuple[bool, str]] = []
     run: list[str] = []
     chrome = main = False
-    skip, depth, own_main = "", 0, 0
+    skip, depth, own_main, by_word = "", 0, 0, False
 
     def flush() -> None:
         if run:
@@ -176,20 +183,23 @@ def blocks(page: list, template: dict[str, int], inside: list[tuple[bool, bool]]
                 own_main = 0
             continue
         if skip:
-            if name == skip:
+            if name in MAIN and tag.opens and not tag.said and by_word:  # a class of what holds the article itself
+                skip, depth = "", 0
+            elif name == skip:
                 depth += 1 if tag.opens else -1
                 if depth == 0:
                     skip = ""
-            continue
+            if skip or name not in MAIN or not tag.opens:
+                continue
         if name in BLOCK:
             flush()
         elif name == "br" or name in VOID:
             run.append(" ")
-        if tag.opens and tag.chrome and not (name == "header" and (main or own_main)):
+        if tag.opens and tag.chrome and not (tag.outside and (main or own_main)):
             if name not in VOID:
                 flush()
-                skip, depth = name, 1
-        elif name in MAIN and not chrome:
+                skip, depth, by_word = name, 1, name not in CHROME
+        elif name in MAIN and not chrome and not tag.chrome:
             own_main = max(0, own_main + (1 if tag.opens else -1))
     flush()
     return out

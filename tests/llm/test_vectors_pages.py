@@ -125,6 +125,12 @@ def test_open_tags_end_with_their_gap(spark):
     assert texts == [f"T\n\nText {i}" for i in range(6)]
 
 
+def test_classes_of_what_holds_the_article():
+    page = '<html><body><div class="wrap no-sidebar"><p>up</p><article><div class="entry-header"><h1>T {n}</h1></div><p>Text</p><div class="comments"><article class="comment"><p>c</p></article></div></article></div><div id="sidebar"><p>s</p></div></body></html>'
+    assert htmltext.texts([page.format(n=1)]) == ["T 1\n\nText"]
+    assert htmltext.texts([page.format(n=i) for i in range(5)]) == [f"T {i}\n\nText" for i in range(5)]
+
+
 def test_classes():
     pages = [htmltext.tokens(f"<html><body><ul>{'<li><a>x</a></li>' * n}</ul><p>t</p></body></html>") for n in (1, 2, 3)]
     found = htmltext.classes(pages)
