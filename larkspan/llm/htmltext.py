@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a chunk, on average.
-CHUNK = 400
+from larkspan.llm.shared import spool
+
+#: Pages of a chunk, on average, and hosts of several chunks that are broadcast at most.
+CHUNK, HOSTS = 400, 100_000
 #: Elements whose content is not main text. Fixed values.
 CHROME = frozenset("head script style noscript template svg math iframe object canvas nav menu header footer aside form button select textarea input dialog audio video".split())
 #: Words of a class, id or role that say the same. Fixed values.
@@ -237,7 +239,9 @@ def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     import zstandard
 
-    n = pages.groupBy(host(F.col("url")).alias("host")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    # hosts of more than one chunk: no more than a row for each `chunk` pages
+    n = spool(pages.groupBy(host(F.col("url")).alias("host")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"), "hosts")
+    n = F.broadcast(n) if n.limit(HOSTS + 1).count() <= HOSTS else n
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -247,7 +251,8 @@ def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     kinds = dict(pages.dtypes)
     packed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).mapInArrow(pack, f"page_id {kinds['page_id']}, url string, host string, z binary")
-    packed = packed.join(n, "host").withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.col("chunks")))
+    packed = packed.join(n, "host", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("chunks")), F.lit(0)))
+    packed = packed.repartition("host", "chunk")  # else a join by host leaves all chunks of a host in one task
 
     def run(t: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor().decompress
