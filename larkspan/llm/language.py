@@ -16,6 +16,8 @@ from larkspan.llm.shared import named, numbered
 PROFILE = 400
 #: About so many documents of each language are read to fit its profile, chosen by a hash of the id.
 SAMPLE = 2000
+#: Languages whose counts are broadcast at most.
+LANGUAGES = 10_000
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -73,6 +75,7 @@ def fit(labelled: DataFrame, profile: int = PROFILE, sample: int = SAMPLE, seed:
     """
     x = labelled.where(F.col("lang").isNotNull())
     share = x.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count("*")).alias("p"))
+    share = F.broadcast(share) if share.limit(LANGUAGES + 1).count() <= LANGUAGES else share  # else all texts of a language would meet in one task
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
     x = x.where("text is not null").join(share, "lang").where(chance < F.col("p")).select("lang", "text")
 
