@@ -129,7 +129,7 @@ def tokenizer(raw: bytes):
 class Words:
     """Encodes texts by their marked words where no piece crosses words: each word of a batch is encoded once, all in one multithreaded call."""
 
-    def __init__(self, raw: bytes, keep: int = 200_000):
+    def __init__(self, raw: bytes, keep: int = 60_000):
         self.model, self.tok = tokenizer(raw)
         self.known: dict[str, list[int]] = {}
         self.keep = keep

@@ -307,7 +307,7 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
         ends = np.cumsum(n[on])
         a = 0
         while a < len(on):
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 21), side="right")))
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 18), side="right")))
             part = on[a:z]
             q = np.repeat(part, n[part])
             i = np.arange(len(q)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(first[part], n[part])
@@ -323,15 +323,15 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
         if len(left) and len(right):
             for x, y, f in meet(left, right):
                 a, b, far = np.concatenate((a, x)), np.concatenate((b, y)), np.concatenate((far, f))
-                if len(a) > 1 << 20:
+                if len(a) > 1 << 18:
                     kept = forest(a, b, far)
                     a, b, far = a[kept], b[kept], far[kept]
             kept = forest(a, b, far)
             a, b = a[kept], b[kept]
         return pa.table({"a": a, "b": b})
 
-    # keys are dealt to blocks of bounded size: about a million rows each
-    blocks = max(1, -(-node.count() * 204 // 1_000_000))
+    # keys are dealt to blocks of bounded size: about a quarter of a million rows each
+    blocks = max(1, -(-node.count() * 204 // 250_000))
     block = F.pmod(F.xxhash64("key"), F.lit(blocks))
     found = index.withColumn("block", block).groupBy("block").cogroup(asks.withColumn("block", block).select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("key", "body", "fp", "sketch")]).groupBy("q_block")).applyInArrow(connect, "a long, b long")
     pairs = spool(found.distinct(), "pairs")
