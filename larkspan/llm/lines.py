@@ -2,8 +2,8 @@
 
 A line is masked (tokens with a digit become <*>) and goes down the tree: token count, then its leading tokens. In a leaf whose lines
 agree at most positions, the positions that differ are generalised too and the leaf is one template; else each masked line is its own.
-A template that recurs across documents is dropped from them, if it stands in ever new surroundings: a line of a copied document
-has the copy's neighbours around it, boilerplate has others each time. Copies are left to the near-duplicate operators.
+A template that recurs across documents is dropped from them. Equal texts count as one document and so does a group of near copies, told by
+whole documents: a text most of whose lines stand in m texts counts as 1 / m of one. Copies are left to the near-duplicate operators.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from larkspan.llm.shared import named, numbered, spool
 DEPTH = 3
 #: Share of equal positions from which a leaf is generalised into one template, and the least tokens for that.
 AGREE, LEAST = 0.6, 6
-#: A template recurs from so many documents on, and is boilerplate from so many surroundings a document on.
-DOCS, SURROUNDINGS = 4, 0.5
+#: A template recurs from so many documents on. Texts with few lines of their own count too, if they are this share of a template's texts.
+DOCS, SHARE = 4, 0.5
 MASK = "<*>"
 
 
@@ -33,26 +33,24 @@ def _leaf(line: Column, depth: int) -> Column:
 
 
 def line_table(docs: DataFrame, depth: int = DEPTH, lines: bool = False) -> DataFrame:
-    """A narrow row for each line that is not blank: doc_id, body (hash of the text), at (its position from 0), line (hash of the masked line), leaf, around (hash of the leaves before and after it), and the masked line if asked for."""
+    """A narrow row for each line that is not blank: doc_id, body (hash of the text), at (its position from 0), line (hash of the masked line), leaf, and the masked line if asked for."""
     # each explode of one struct ends an expression, so that the next one reads its value and does not compute it again for each line
     held = lambda x, **cols: x.select("doc_id", "body", F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("h")).select("doc_id", "body", "h.*")
     x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("body"), "text")
     x = held(x, t=masked(F.col("text")))
     x = held(x, t=F.col("t"), k=F.transform("t", lambda y: _leaf(y, depth)), at=F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i) != ""))
-    leaf = lambda j: F.get("k", F.get("at", j))
-    rows = F.transform("at", lambda p, j: F.struct(
-        p.alias("at"), F.xxhash64(F.get("t", p)).alias("line"), leaf(j).alias("leaf"),
-        F.xxhash64(leaf(j - 1), leaf(j + 1)).alias("around"), *([F.get("t", p).alias("masked")] if lines else [])))
+    rows = F.transform("at", lambda p: F.struct(
+        p.alias("at"), F.xxhash64(F.get("t", p)).alias("line"), F.get("k", p).alias("leaf"), *([F.get("t", p).alias("masked")] if lines else [])))
     return x.select("doc_id", "body", F.explode(rows).alias("f")).select("doc_id", "body", "f.*")
 
 
-def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, agree: float = AGREE, least: int = LEAST, n_docs: int = DOCS, surroundings: float = SURROUNDINGS) -> DataFrame:
+def templates(docs: DataFrame, lines: DataFrame, by: DataFrame, depth: int = DEPTH, agree: float = AGREE, least: int = LEAST, n_docs: int = DOCS, share: float = SHARE) -> DataFrame:
     """(leaf, line, template): the template of each masked line that its leaf generalises; other lines are their own template and have no row here.
 
     Only leaves with several lines that as one template would recur are looked at; the tokens of just these lines are read again from docs.
     """
     many = lines.groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("leaf")
-    whole = recurring(lines.select("doc_id", "body", "around", F.col("leaf").alias("template")), n_docs, surroundings).select(F.col("template").alias("leaf"))
+    whole = recurring(lines.select("body", F.col("leaf").alias("template"), F.lit(True).alias("general")), by, n_docs, share).select(F.col("template").alias("leaf"))
     many = spool(many.join(whole, "leaf", "left_semi"), "leaves")
     if many.isEmpty():
         return lines.select("leaf", "line", F.col("leaf").alias("template")).where("false")
@@ -64,15 +62,30 @@ def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, agree: floa
     return own.select("leaf", "line").join(good, "leaf", "left_semi").withColumn("template", F.col("leaf"))
 
 
-def recurring(lines: DataFrame, docs: int = DOCS, surroundings: float = SURROUNDINGS) -> DataFrame:
-    """(template, n_docs, n_around) of the templates to drop. Two levels of sums, so that a common template is never one task's."""
-    once = lines.groupBy("template", "doc_id", "body").agg(F.min("around").alias("around"))
-    by = once.groupBy("template", "around").agg(F.count("*").alias("n"))
-    total = by.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_around"))
-    return total.where((F.col("n_docs") >= docs) & (F.col("n_around") >= surroundings * F.col("n_docs")) & (F.col("n_around") >= docs))
+def weights(lines: DataFrame) -> DataFrame:
+    """(body, half, some): a text counts as one over the number of texts that have its line's leaf; half: by the upper median of its lines, some: by their lowest fifth.
+
+    Near copies share nearly all leaves, so a group of m counts about once. A text with lines of its own counts once by some, and by half if they are more than half.
+    """
+    n = lines.groupBy("leaf", "body").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
+    at = lines.groupBy("body", "at").agg(F.min("leaf").alias("leaf")).join(n, "leaf", "left")
+    x = at.groupBy("body").agg(F.sort_array(F.collect_list(F.coalesce("n", F.lit(1)))).alias("n"))
+    part = lambda of: 1.0 / F.get("n", F.floor(F.size("n") * F.lit(of)).cast("int"))
+    return x.select("body", part(0.5).alias("half"), part(0.2).alias("some"))
+
+
+def recurring(lines: DataFrame, by: DataFrame, docs: int = DOCS, share: float = SHARE) -> DataFrame:
+    """(template, n_texts, half, some) of the templates to drop, by weights(): half reaches docs; or some does and is also `share` of the texts, for a line that recurs as it is.
+
+    A generalised template needs the former: near copies that differ in a word make such templates too. Sums in parts, so that a common template is never one task's.
+    """
+    once = lines.groupBy("template", "body").agg(F.max("general").alias("general"))
+    total = once.join(by, "body").groupBy("template").agg(F.count("*").alias("n_texts"), F.sum("half").alias("half"), F.sum("some").alias("some"), F.max("general").alias("general"))
+    near = 1e-6  # sums of fractions
+    return total.where((F.col("half") >= docs - near) | ~F.col("general") & (F.col("some") >= docs - near) & (F.col("some") >= share * F.col("n_texts") - near))
 
 
-def drop_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE, least: int = LEAST, n_docs: int = DOCS, surroundings: float = SURROUNDINGS) -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE, least: int = LEAST, n_docs: int = DOCS, share: float = SHARE) -> DataFrame:
     """docs with the lines of recurring templates taken out of text, plus lines_dropped (their number).
 
     Lines are parted by \\n and joined by it; blank lines stay. Null texts stay null, empty texts empty, with 0 dropped. A template that
@@ -81,11 +94,12 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE, least:
     included, whatever their names; lines_dropped replaces a column of that name.
     """
     seen = spool(line_table(docs.select("doc_id", "text"), depth), "lines")
-    made = templates(docs.select("doc_id", "text"), seen, depth, agree, least, n_docs, surroundings)
-    narrow = seen.join(made.withColumnRenamed("leaf", "own"), "line", "left")
-    narrow = narrow.select("doc_id", "body", "at", "around", F.coalesce(F.when(F.col("own") == F.col("leaf"), F.col("template")), F.col("line")).alias("template"))
+    by = spool(weights(seen), "weights")
+    made = templates(docs.select("doc_id", "text"), seen, by, depth, agree, least, n_docs, share)
+    narrow = seen.join(made.withColumnRenamed("leaf", "own"), "line", "left").withColumn("general", F.coalesce(F.col("own") == F.col("leaf"), F.lit(False)))
+    narrow = narrow.select("doc_id", "body", "at", "general", F.when(F.col("general"), F.col("template")).otherwise(F.col("line")).alias("template"))
     narrow = spool(narrow, "templates")
-    out = narrow.join(recurring(narrow, n_docs, surroundings).select("template"), "template", "left_semi")
+    out = narrow.join(recurring(narrow, by, n_docs, share).select("template"), "template", "left_semi")
     out = out.groupBy("doc_id", "body").agg(F.collect_set("at").alias("out")).select(F.col("doc_id").alias("out_id"), F.col("body").alias("out_body"), "out")
     x, at = numbered(docs)
     x = x.withColumn("own_body", F.xxhash64(at["text"])).join(out, F.col(at["doc_id"]).eqNullSafe(F.col("out_id")) & (F.col("own_body") == F.col("out_body")), "left")

@@ -93,6 +93,24 @@ def test_lines_generalise(spark):
     assert {r["lines_dropped"] for r in lines.drop_lines(d).collect()} == {1}
 
 
+def test_lines_footer_and_copies(spark):
+    """All lines of a footer go, on short texts too and where a large group of copies or near copies has it; the lines of the copies stay."""
+    rng = np.random.default_rng(4)
+    own = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) + " own words of line " + "".join(rng.choice(list("klmnop"), 9)) for _ in range(n)]
+    footer = ["Read all the news of the day", "Terms and conditions", "Made in town"]
+    body = own(12)
+    rows = [own(5) + footer for _ in range(10)]
+    for k in range(300):
+        v = list(body)
+        v[k % 12] += f" edit{k}" if k % 2 else f" {chr(97 + k % 26)} {chr(97 + k // 26)}"
+        rows.append((v if k > 60 else body) + footer)
+    other = ["Share this page with friends", "All rights are kept", "Write to us"]
+    rows += [own(2) + other for _ in range(8)]
+    d = spark.createDataFrame([(i, "\n".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lines.drop_lines(d).collect()}
+    assert all(got[i]["text"] == "\n".join(r[:-3]) and got[i]["lines_dropped"] == 3 for i, r in enumerate(rows))
+
+
 def test_lines_odd(spark):
     d = odd(spark)
     got = lines.drop_lines(d)
