@@ -193,6 +193,23 @@ def test_alike_planted(spark, data):
             assert max(j(k, o) for o in ids if o != k) >= 0.8
 
 
+def test_alike_short(spark):
+    """All pairs of short texts of 0.8 or more are linked, against exact similarities of all pairs."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(250):
+        w = [f"w{x}" for x in rng.integers(0, 300, rng.integers(12, 70))]
+        rows.append(w)
+        rows.append([f"x{rng.integers(300)}", *w[1:]] if rng.random() < 0.5 else [*w, *(f"x{x}" for x in rng.integers(0, 300, rng.integers(1, 4)))])
+    texts = [" ".join(w) for w in rows]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 200
+    assert sum(comp[i] == comp[j] for i, j in near) == len(near)
+    assert all(c == i or (max(len(sets[i] & o) / len(sets[i] | o) for k, o in enumerate(sets) if k != i) >= 0.8) for i, c in comp.items())
+
+
 def test_forest():
     a, b, far = np.array([1, 2, 3, 1, 9]), np.array([2, 3, 1, 4, 8]), np.array([5, 1, 2, 3, 0])
     assert sorted(zip(a[(k := simhash.forest(a, b, far))].tolist(), b[k].tolist())) == [(1, 4), (2, 3), (3, 1), (9, 8)]
