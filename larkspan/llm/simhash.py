@@ -275,7 +275,8 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
     """(doc_id, body, component_id): the smallest doc_id that links reach. A link: Jaccard similarity of the shingle sets of at least `similarity`.
 
     Candidates are texts one of whose fingerprints differ in at most 3 bits (Golay keys) or that share a band of minhashes, and whose sketches differ in at
-    most SKETCH_BITS. Copies of a text
+    most SKETCH_BITS. First each task passes on a spanning forest of the nearest, so that large groups do not become all pairs, and its edges are verified;
+    then all candidates between the groups that the verified edges made are verified too, so none is lost to an edge that fails. Copies of a text
     are one node. Null and empty texts are one group, as they have the same (no) shingles. Repeated rows stay; an empty table stays empty.
     """
     x = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("text")).withColumn("body", F.xxhash64("text"))
@@ -296,26 +297,22 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
         for whole in batches:
             for at in range(0, len(whole), 2048):
                 b = whole.slice(at, 2048)
-                body, sketch = b.column(0).to_numpy(), b.column(1).to_numpy()
+                body, sketch, root = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3 + len(SEEDS)).to_numpy()
                 for p in range(len(SEEDS)):
                     fp = b.column(2 + p).to_numpy()
                     k, r, q, s = keys(np.ascontiguousarray(fp))
                     for key, rows, asks in ((k, r, False), (q, s, True)):
-                        yield pa.RecordBatch.from_arrays([pa.array(key | p << 60), pa.array(np.full(len(key), asks)), pa.array(body[rows]), pa.array(fp[rows]), pa.array(sketch[rows])], names=["key", "asks", "body", "fp", "sketch"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key | p << 60), pa.array(np.full(len(key), asks)), pa.array(body[rows]), pa.array(fp[rows]), pa.array(sketch[rows]), pa.array(root[rows])], names=["key", "asks", "body", "fp", "sketch", "root"])
                 k = np.frombuffer(b"".join(b.column(2 + len(SEEDS)).to_pylist()), np.int64) | len(SEEDS) << 60
                 rows = np.repeat(np.arange(len(b)), BANDS)
                 for asks in (False, True):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), asks)), pa.array(body[rows]), pa.array(np.zeros(len(k), np.int64)), pa.array(sketch[rows])], names=["key", "asks", "body", "fp", "sketch"])
-
-    dealt = node.select("body", "sketch", *names, "bands").mapInArrow(deal, "key long, asks boolean, body long, fp long, sketch long")
-    # a group of a key can be split among tasks: queries are told apart by asks, so the index side is joined to each
-    index, asks = dealt.where("not asks").select("key", "body", "fp", "sketch"), dealt.where("asks").select("key", "body", "fp", "sketch")
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), asks)), pa.array(body[rows]), pa.array(np.zeros(len(k), np.int64)), pa.array(sketch[rows]), pa.array(root[rows])], names=["key", "asks", "body", "fp", "sketch", "root"])
 
     def meet(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        k, body, fp, sk = (left.column(c).to_numpy() for c in ("key", "body", "fp", "sketch"))
+        k, body, fp, sk, group = (left.column(c).to_numpy() for c in ("key", "body", "fp", "sketch", "root"))
         order = np.argsort(k, kind="stable")
-        k, body, fp, sk = k[order], body[order], fp[order].view(np.uint64), sk[order].view(np.uint64)
-        qk, qb, qf, qs = (right.column(c).to_numpy() for c in ("q_key", "q_body", "q_fp", "q_sketch"))
+        k, body, fp, sk, group = k[order], body[order], fp[order].view(np.uint64), sk[order].view(np.uint64), group[order]
+        qk, qb, qf, qs, qg = (right.column(c).to_numpy() for c in ("q_key", "q_body", "q_fp", "q_sketch", "q_root"))
         qf, qs = qf.view(np.uint64), qs.view(np.uint64)
         first, n = np.searchsorted(k, qk), np.searchsorted(k, qk, side="right")
         n = n - first
@@ -327,7 +324,7 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
             part = on[a:z]
             q = np.repeat(part, n[part])
             i = np.arange(len(q)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(first[part], n[part])
-            good = (body[i] < qb[q]) & (np.bitwise_count(fp[i] ^ qf[q]) <= BITS)
+            good = (body[i] < qb[q]) & (group[i] != qg[q]) & (np.bitwise_count(fp[i] ^ qf[q]) <= BITS)
             q, i = q[good], i[good]
             far = np.bitwise_count(sk[i] ^ qs[q])
             good = far <= SKETCH_BITS
@@ -346,11 +343,25 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
             a, b = a[kept], b[kept]
         return pa.table({"a": a, "b": b})
 
-    # keys are dealt to blocks of bounded size: about a quarter of a million rows each
-    blocks = max(1, -(-node.count() * (204 + 2 * BANDS) // 250_000))
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks))
-    found = index.withColumn("block", block).groupBy("block").cogroup(asks.withColumn("block", block).select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("key", "body", "fp", "sketch")]).groupBy("q_block")).applyInArrow(connect, "a long, b long")
-    pairs = spool(found.distinct(), "pairs")
+    def every(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        found = [np.unique(np.stack((x, y), 1), axis=0) for x, y, _ in meet(left, right)] if len(left) and len(right) else []
+        both = np.unique(np.concatenate(found), axis=0) if found else np.stack((none, none), 1)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    def candidates(node: DataFrame, thin: bool) -> DataFrame:
+        """Pairs of nodes of different root, by a forest of each task or all of them."""
+        dealt = node.select("body", "sketch", *names, "bands", "root").mapInArrow(deal, "key long, asks boolean, body long, fp long, sketch long, root long")
+        # a group of a key can be split among tasks: queries are told apart by asks, so the index side is joined to each
+        columns = ["key", "body", "fp", "sketch", "root"]
+        index, asks = dealt.where("not asks").select(*columns), dealt.where("asks").select(*columns)
+        # keys are dealt to blocks of bounded size: about a quarter of a million rows each
+        blocks = max(1, -(-node.count() * (204 + 2 * BANDS) // 250_000))
+        block = F.pmod(F.xxhash64("key"), F.lit(blocks))
+        asks = asks.withColumn("block", block).select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in columns])
+        return index.withColumn("block", block).groupBy("block").cogroup(asks.groupBy("q_block")).applyInArrow(connect if thin else every, "a long, b long").distinct()
+
+    pairs = spool(candidates(node.withColumn("root", F.col("body")), True), "pairs")
     linked = spool(pairs.select(F.col("a").alias("body")).unionAll(pairs.select("b")).distinct(), "linked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,8 +381,16 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    both = pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "other"), "b").select("a", "b", "one", "other")
-    tied = spool(stars(both.mapInArrow(verify, "a long, b long")), "ties").select(F.col("a").alias("tied"), "root")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "other"), "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long")
+
+    good = spool(verified(pairs), "verified")
+    tied = spool(stars(good), "ties").select(F.col("a").alias("tied"), "root")
+    # a text that has a candidate has an edge of a forest, so only these texts are dealt again
+    rest = node.join(linked, "body", "left_semi").join(tied, F.col("body") == F.col("tied"), "left").withColumn("root", F.coalesce("root", "body")).drop("tied")
+    rest = spool(candidates(spool(rest, "rest"), False).join(pairs, ["a", "b"], "left_anti"), "more")
+    if not rest.isEmpty():
+        tied = spool(stars(good.unionAll(verified(rest))), "ties").select(F.col("a").alias("tied"), "root")
     own = node.join(tied, node["body"] == tied["tied"], "left").select("body", "low", F.coalesce("root", "body").alias("root"))
     lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
     named = own.join(lowest, "root").select(F.col("body").alias("own"), "component_id")

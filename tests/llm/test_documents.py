@@ -210,6 +210,23 @@ def test_alike_short(spark):
     assert all(c == i or (max(len(sets[i] & o) / len(sets[i] | o) for k, o in enumerate(sets) if k != i) >= 0.8) for i, c in comp.items())
 
 
+def test_alike_displaced(spark):
+    """A pair of 0.8 or more is linked where a nearer pair by sketch that fails the check takes its place in the forest."""
+    rng = np.random.default_rng(74)
+    b = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    a, c = list(b), list(b)
+    for at in rng.choice(400, int(rng.integers(8, 11)), replace=False):
+        a[at] = f"e{rng.integers(5000)}"
+    for at in [i for i in range(400) if a[i] != b[i]][:2]:
+        c[at] = a[at]
+    texts = [" ".join(x) for x in (a, b, c)]
+    s = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    j = [len(s[x] & s[y]) / len(s[x] | s[y]) for x, y in ((0, 1), (0, 2), (1, 2))]
+    far = [((simhash.word_prints(texts[x], 5)[1] ^ simhash.word_prints(texts[y], 5)[1]) & (1 << 64) - 1).bit_count() for x, y in ((0, 1), (0, 2), (1, 2))]
+    assert j[0] < 0.8 <= min(j[1:]) and far[2] < far[0] < far[1]
+    assert {r["component_id"] for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == {0}
+
+
 def test_forest():
     a, b, far = np.array([1, 2, 3, 1, 9]), np.array([2, 3, 1, 4, 8]), np.array([5, 1, 2, 3, 0])
     assert sorted(zip(a[(k := simhash.forest(a, b, far))].tolist(), b[k].tolist())) == [(1, 4), (2, 3), (3, 1), (9, 8)]
