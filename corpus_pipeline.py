@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of whole texts."""
-    return pieces.encode(docs).drop("text")
+    return pieces.encode(docs, check_every=1).drop("text")
 
 
 STAGES = [("language", identify_language), ("lines", dedup_lines), ("near_duplicates", dedup_near), ("mix", mix), ("pieces", encode)]

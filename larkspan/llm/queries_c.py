@@ -10,7 +10,7 @@ from larkspan.llm import lines, pieces, simhash
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pieces.encode(docs).drop("text")
+    return pieces.encode(docs, check_every=1).drop("text")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,6 +301,17 @@ def test_pieces_parity(spark, data):
     assert back.where("doc_id <> -1 and doc_id <> -5 and not (text <=> decoded)").count() == 0
 
 
+def test_pieces_query_parity(spark, data):
+    """Every text of the query and of the stage has a parity value."""
+    import corpus_pipeline
+
+    from larkspan.llm import queries_c
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for got in (queries_c.QUERIES["op2_pieces"](spark, data), corpus_pipeline.encode(spark, docs, data)):
+        assert got.where("parity is null and n_pieces is not null or not parity").count() == 0
+
+
 def test_pieces_unigram(spark):
     """A unigram model written by hand: scores, byte fallback and normaliser flags come from its protobuf."""
     import struct
