@@ -217,12 +217,14 @@ def texts(htmls: list[str | None]) -> list[str]:
     inside = gaps(template)
     place = {r: k for k, r in enumerate(template)}
     found = [blocks(p, place, inside) for p in pages]
-    known = Counter(t for b in found for t in {t for _, t in b}) if len(there) >= 4 else {}
+    # copies of a page count once
+    distinct = {tuple(t for _, t in b) for b in found if b}
+    known = Counter(t for b in distinct for t in set(b)) if len(distinct) >= 4 else {}
     out = []
     for b in found:
         own = [t for m, t in b if m]
         if not own:  # no main element: what most pages of the host say is template too
-            own = [t for _, t in b if known.get(t, 0) * 2 <= len(there)]
+            own = [t for _, t in b if known.get(t, 0) * 2 <= len(distinct)] or [t for _, t in b]
         out.append("\n\n".join(own))
     return out
 

@@ -125,6 +125,17 @@ def test_open_tags_end_with_their_gap(spark):
     assert texts == [f"T\n\nText {i}" for i in range(6)]
 
 
+def test_copied_pages_keep_their_text():
+    """Copies of a page without an article count once, and no page loses all its blocks; what most pages say still goes."""
+    page = lambda *blocks: "<html><body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body></html>"
+    story = ["The story of the town.", "Its second part is longer."]
+    pages = [page(*story)] * 8 + [page(f"Own words {k} of this page.", "More stories on the front page.") for k in "abcde"]
+    got = htmltext.texts(pages)
+    assert got[:8] == ["\n\n".join(story)] * 8
+    assert got[8:] == [f"Own words {k} of this page." for k in "abcde"]
+    assert all(htmltext.texts([page(*story)] * 8))
+
+
 def test_classes_of_what_holds_the_article():
     page = '<html><body><div class="wrap no-sidebar"><p>up</p><article><div class="entry-header"><h1>T {n}</h1></div><p>Text</p><div class="comments"><article class="comment"><p>c</p></article></div></article></div><div id="sidebar"><p>s</p></div></body></html>'
     assert htmltext.texts([page.format(n=1)]) == ["T 1\n\nText"]
