@@ -389,6 +389,27 @@ def test_seating_matches_exact_posterior():
     assert np.abs(got - want).max() < 0.012
 
 
+def test_seating_of_large_dishes():
+    """Tables of dishes of 2,000 customers, started under another parent, after a run's sweeps against the exact posterior mean."""
+    d, pull, rng, n, most = 0.8, 20.0, np.random.default_rng(5), 2000, 1200
+    t = np.arange(1, most + 1)
+    s = np.where(t == 1, 0.0, -np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(2, n + 1):
+            s = np.logaddexp(np.concatenate(([-np.inf], s[:-1])), np.where(t < c, np.log(np.maximum(c - 1 - d * t, 1e-300)) + s, -np.inf))
+    w = s + t * math.log(pull)
+    w = np.exp(w - w.max())
+    assert w[-1] < 1e-9 * w.sum()
+    want = (w * t).sum() / w.sum()
+    c, got = np.full(400, n), None
+    got = pitmanyor.first_tables(c, np.full(400, 0.05), d, rng)
+    means = []
+    for _ in range(pitmanyor.SWEEPS):
+        got = pitmanyor.reseat(c, got, np.full(400, pull), d, pitmanyor.MOVES, rng)
+        means.append(got.mean())
+    assert np.mean(means[pitmanyor.BURN_IN :]) == pytest.approx(want, rel=0.05)
+
+
 def test_scores_odd(spark):
     d = odd(spark)
     none, every = F.lit(True), F.lit(False)
