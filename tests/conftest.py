@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -43,7 +44,7 @@ def plain(frame):
     frame = frame[sorted(frame.columns)].copy()
 
     def one(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return "None"
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))
