@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import language, lines, mixing, pieces, simhash
+from larkspan.llm import alike, language, lines, mixing, pieces
 from larkspan.llm.shared import spool
 
 #: Texts in no language of the profiles score under this and go, as do texts without a letter.
@@ -29,8 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, by fingerprints of five-word shingles."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each near-duplicate group stays: five-word shingles, similarity of 0.8 or more; rows and odd values as keep_one says."""
+    return alike.keep_one(docs, shingle=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

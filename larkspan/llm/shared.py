@@ -12,10 +12,37 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def slices(batch, column: str, rows: int = 512, size: int = 1 << 21):
+    """Runs of a record batch of at most `rows` rows and about `size` bytes of a text column; a longer text is a run of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def release() -> None:
+    """Give freed memory of a Python worker back, so that the next operator's worker finds it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where the setting is unset."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset: a local one on a local master, else an error, as executors could not see it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="larkspan-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

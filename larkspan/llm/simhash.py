@@ -180,225 +180,3 @@ def groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-# Documents alike in their shingles: two fingerprints of word counts and bands of minhashes give candidates, a sketch sorts them out, shingle sets decide.
-
-#: Fingerprints of a document's words (seeds), differing bits that two sketches of 64 minhash bits may have, and shingle similarity.
-SEEDS, SKETCH_BITS, SIMILARITY = (42, 43), 20, 0.8
-#: Bands of minhashes of the shingle set, and minhashes of each: a pair of similarity 0.8 shares no band once in 14,000 times.
-BANDS, BAND = 24, 5
-
-
-def _hashes(words: list[str]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in words), np.uint64, len(words))
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted 32-bit hashes of the distinct shingles of a lower-cased text; fewer words make one shingle, no word none."""
-    import regex
-
-    w = regex.findall(WORD, text) if text else []
-    every = [" ".join(x) for x in zip(*(w[k:] for k in range(shingle)))] if len(w) >= shingle else [" ".join(w)] if w else []  # noqa: B905
-    return np.unique(_hashes(every).astype(np.uint32))
-
-
-@cache
-def _orders() -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def word_prints(text: str | None, shingle: int) -> tuple[list[int], int, bytes]:
-    """The fingerprints of the words (repeats included) by seed, a minhash bit of the shingle set for each of the first 64 orders, and a 60-bit key of each band of minhashes. No word: zeros."""
-    import regex
-
-    w = regex.findall(WORD, text) if text else []
-    if not w:
-        return [0] * len(SEEDS), 0, bytes(8 * BANDS)
-    from collections import Counter
-
-    count = Counter(w)
-    h, n = _hashes(list(count)), np.fromiter(count.values(), np.float32)
-    prints = []
-    for seed in SEEDS:
-        x = h * np.uint64(2 * seed + 1) if seed != SEEDS[0] else h
-        x = x ^ x >> np.uint64(29)
-        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-        prints.append(int(np.packbits(2 * (n @ bits) > len(w), bitorder="little").view(np.int64)[0]))
-    orders = _orders()
-    s = shingle_set(text, shingle).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    least = np.full(len(orders), np.iinfo(np.uint64).max)
-    for a in range(0, len(s), 2048):
-        least = np.minimum(least, (s[a : a + 2048, None] * orders).min(0))
-    bands = np.zeros(BANDS, np.uint64)
-    for x in least.reshape(BANDS, BAND).T:
-        bands = (bands ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        bands ^= bands >> np.uint64(29)
-    bands = (bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(4)
-    return prints, int(np.packbits((least[:64] >> np.uint64(9) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)[0]), bands.tobytes()
-
-
-def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Numbers of edges that connect all that the edges (a, b) connect, by least distance first (Boruvka)."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    u, v, label, out = at[: len(a)], at[len(a) :], np.arange(len(nodes)), []
-    rank = np.empty(len(a), np.int64)
-    rank[np.argsort(far, kind="stable")] = np.arange(len(a))
-    by_rank = np.argsort(rank)
-    on = np.arange(len(a))
-    while True:
-        on = on[label[u[on]] != label[v[on]]]
-        if not len(on):
-            return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-        best = np.full(len(nodes), len(a), np.int64)
-        np.minimum.at(best, label[u[on]], rank[on])
-        np.minimum.at(best, label[v[on]], rank[on])
-        pick = by_rank[np.unique(best[best < len(a)])]
-        out.append(pick)
-        x, y = label[u[pick]], label[v[pick]]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[x], root[y])
-            new = root.copy()
-            np.minimum.at(new, x, low)
-            np.minimum.at(new, y, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        label = root[label]
-
-
-def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, body, component_id): the smallest doc_id that links reach. A link: Jaccard similarity of the shingle sets of at least `similarity`.
-
-    Candidates are texts one of whose fingerprints differ in at most 3 bits (Golay keys) or that share a band of minhashes, and whose sketches differ in at
-    most SKETCH_BITS. First each task passes on a spanning forest of the nearest, so that large groups do not become all pairs, and its edges are verified;
-    then all candidates between the groups that the verified edges made are verified too, so none is lost to an edge that fails. Copies of a text
-    are one node. Null and empty texts are one group, as they have the same (no) shingles. Repeated rows stay; an empty table stays empty.
-    """
-    x = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("text")).withColumn("body", F.xxhash64("text"))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                b = whole.slice(at, 512)
-                made = [word_prints(t, shingle) for t in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([m[0][k] for m in made], pa.int64()) for k in range(len(SEEDS))], pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.binary())], names=["doc_id", "body", *names, "sketch", "bands"])
-
-    names = [f"p{k}" for k in range(len(SEEDS))]
-    kind = dict(docs.dtypes)["doc_id"]
-    seen = spool(x.select("doc_id", "body", "text").mapInArrow(prints, f"doc_id {kind}, body long, {', '.join(f'{n} long' for n in names)}, sketch long, bands binary"), "prints")
-    node = spool(seen.groupBy("body").agg(F.min("doc_id").alias("low"), *[F.min(n).alias(n) for n in names], F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "texts")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 2048):
-                b = whole.slice(at, 2048)
-                body, sketch, root = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3 + len(SEEDS)).to_numpy()
-                for p in range(len(SEEDS)):
-                    fp = b.column(2 + p).to_numpy()
-                    k, r, q, s = keys(np.ascontiguousarray(fp))
-                    for key, rows, asks in ((k, r, False), (q, s, True)):
-                        yield pa.RecordBatch.from_arrays([pa.array(key | p << 60), pa.array(np.full(len(key), asks)), pa.array(body[rows]), pa.array(fp[rows]), pa.array(sketch[rows]), pa.array(root[rows])], names=["key", "asks", "body", "fp", "sketch", "root"])
-                k = np.frombuffer(b"".join(b.column(2 + len(SEEDS)).to_pylist()), np.int64) | len(SEEDS) << 60
-                rows = np.repeat(np.arange(len(b)), BANDS)
-                for asks in (False, True):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), asks)), pa.array(body[rows]), pa.array(np.zeros(len(k), np.int64)), pa.array(sketch[rows]), pa.array(root[rows])], names=["key", "asks", "body", "fp", "sketch", "root"])
-
-    def meet(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        k, body, fp, sk, group = (left.column(c).to_numpy() for c in ("key", "body", "fp", "sketch", "root"))
-        order = np.argsort(k, kind="stable")
-        k, body, fp, sk, group = k[order], body[order], fp[order].view(np.uint64), sk[order].view(np.uint64), group[order]
-        qk, qb, qf, qs, qg = (right.column(c).to_numpy() for c in ("q_key", "q_body", "q_fp", "q_sketch", "q_root"))
-        qf, qs = qf.view(np.uint64), qs.view(np.uint64)
-        first, n = np.searchsorted(k, qk), np.searchsorted(k, qk, side="right")
-        n = n - first
-        on = np.flatnonzero(n)
-        ends = np.cumsum(n[on])
-        a = 0
-        while a < len(on):
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 18), side="right")))
-            part = on[a:z]
-            q = np.repeat(part, n[part])
-            i = np.arange(len(q)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(first[part], n[part])
-            good = (body[i] < qb[q]) & (group[i] != qg[q]) & (np.bitwise_count(fp[i] ^ qf[q]) <= BITS)
-            q, i = q[good], i[good]
-            far = np.bitwise_count(sk[i] ^ qs[q])
-            good = far <= SKETCH_BITS
-            yield body[i[good]], qb[q[good]], far[good]
-            a = z
-
-    def connect(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b, far = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint8))
-        if len(left) and len(right):
-            for x, y, f in meet(left, right):
-                a, b, far = np.concatenate((a, x)), np.concatenate((b, y)), np.concatenate((far, f))
-                if len(a) > 1 << 18:
-                    kept = forest(a, b, far)
-                    a, b, far = a[kept], b[kept], far[kept]
-            kept = forest(a, b, far)
-            a, b = a[kept], b[kept]
-        return pa.table({"a": a, "b": b})
-
-    def every(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = np.zeros(0, np.int64)
-        found = [np.unique(np.stack((x, y), 1), axis=0) for x, y, _ in meet(left, right)] if len(left) and len(right) else []
-        both = np.unique(np.concatenate(found), axis=0) if found else np.stack((none, none), 1)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-    def candidates(node: DataFrame, thin: bool) -> DataFrame:
-        """Pairs of nodes of different root, by a forest of each task or all of them."""
-        dealt = node.select("body", "sketch", *names, "bands", "root").mapInArrow(deal, "key long, asks boolean, body long, fp long, sketch long, root long")
-        # a group of a key can be split among tasks: queries are told apart by asks, so the index side is joined to each
-        columns = ["key", "body", "fp", "sketch", "root"]
-        index, asks = dealt.where("not asks").select(*columns), dealt.where("asks").select(*columns)
-        # keys are dealt to blocks of bounded size: about a quarter of a million rows each
-        blocks = max(1, -(-node.count() * (204 + 2 * BANDS) // 250_000))
-        block = F.pmod(F.xxhash64("key"), F.lit(blocks))
-        asks = asks.withColumn("block", block).select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in columns])
-        return index.withColumn("block", block).groupBy("block").cogroup(asks.groupBy("q_block")).applyInArrow(connect if thin else every, "a long, b long").distinct()
-
-    pairs = spool(candidates(node.withColumn("root", F.col("body")), True), "pairs")
-    linked = spool(pairs.select(F.col("a").alias("body")).unionAll(pairs.select("b")).distinct(), "linked")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["body", "shingles"])
-
-    texts = x.select("body", "text").join(linked, "body", "left_semi").groupBy("body").agg(F.min("text").alias("text"))
-    texts = spool(texts.mapInArrow(sets, "body long, shingles binary"), "shingles")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for one, other in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                one, other = np.frombuffer(one, np.uint32), np.frombuffer(other, np.uint32)
-                n = len(np.intersect1d(one, other, assume_unique=True))
-                good.append(n >= similarity * (len(one) + len(other) - n))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "other"), "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long")
-
-    good = spool(verified(pairs), "verified")
-    tied = spool(stars(good), "ties").select(F.col("a").alias("tied"), "root")
-    # a text that has a candidate has an edge of a forest, so only these texts are dealt again
-    rest = node.join(linked, "body", "left_semi").join(tied, F.col("body") == F.col("tied"), "left").withColumn("root", F.coalesce("root", "body")).drop("tied")
-    rest = spool(candidates(spool(rest, "rest"), False).join(pairs, ["a", "b"], "left_anti"), "more")
-    if not rest.isEmpty():
-        tied = spool(stars(good.unionAll(verified(rest))), "ties").select(F.col("a").alias("tied"), "root")
-    own = node.join(tied, node["body"] == tied["tied"], "left").select("body", "low", F.coalesce("root", "body").alias("root"))
-    lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = own.join(lowest, "root").select(F.col("body").alias("own"), "component_id")
-    return seen.select("doc_id", "body").join(named, seen["body"] == named["own"]).select("doc_id", "body", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The document of each group of alike() whose id is the smallest; of rows that share that id, any one."""
-    low = alike(docs, shingle).select("component_id").distinct().select(F.col("component_id").alias("kept_id"))
-    x = docs.join(low, docs["doc_id"].eqNullSafe(low["kept_id"]), "left_semi")
-    return x.dropDuplicates(["doc_id"])

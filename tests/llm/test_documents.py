@@ -168,78 +168,12 @@ def test_simhash_brute(spark, data):
     assert low.tolist() == got["component_id"].tolist()
 
 
-def test_alike_planted(spark, data):
-    """Near copies of 0.8 or more are found, clean documents stay alone; a large group of near copies is one component."""
-    rng = np.random.default_rng(6)
-    base = [r[0].split() for r in spark.read.parquet(f"{data}/documents.parquet").where("length(text) between 1200 and 6000").orderBy("doc_id").select("text").limit(40).collect()]
-    rows, want = [], {}
-    for i, w in enumerate(base):
-        for k in range(60 if i == 0 else 3):
-            v = list(w)
-            for at in rng.choice(len(v), max(1, len(v) // 100) if k else 0, replace=False):
-                v[at] = f"edit{rng.integers(1 << 30)}"
-            rows.append((1000 * i + k, " ".join(v)))
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    s = {k: set(simhash.shingle_set(t.translate({c: c + 32 for c in range(65, 91)}), 5).tolist()) for k, t in rows}
-    j = lambda a, b: len(s[a] & s[b]) / len(s[a] | s[b])
-    comp = {r["doc_id"]: r["component_id"] for r in simhash.alike(d).collect()}
-    first = {k: k // 1000 * 1000 for k in s}
-    near = [k for k in s if k != first[k] and j(k, first[k]) >= 0.8]
-    assert len(near) > 100 and sum(comp[k] == first[k] for k in near) >= 0.95 * len(near)
-    ids = sorted(s)
-    assert all(comp[a] != comp[b] or comp[a] // 1000 == comp[b] // 1000 for a in ids[::7] for b in ids[::7])
-    for k in ids:
-        if comp[k] != k:
-            assert max(j(k, o) for o in ids if o != k) >= 0.8
-
-
-def test_alike_short(spark):
-    """All pairs of short texts of 0.8 or more are linked, against exact similarities of all pairs."""
-    rng = np.random.default_rng(3)
-    rows = []
-    for _ in range(250):
-        w = [f"w{x}" for x in rng.integers(0, 300, rng.integers(12, 70))]
-        rows.append(w)
-        rows.append([f"x{rng.integers(300)}", *w[1:]] if rng.random() < 0.5 else [*w, *(f"x{x}" for x in rng.integers(0, 300, rng.integers(1, 4)))])
-    texts = [" ".join(w) for w in rows]
-    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
-    comp = {r["doc_id"]: r["component_id"] for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert len(near) > 200
-    assert sum(comp[i] == comp[j] for i, j in near) == len(near)
-    assert all(c == i or (max(len(sets[i] & o) / len(sets[i] | o) for k, o in enumerate(sets) if k != i) >= 0.8) for i, c in comp.items())
-
-
-def test_alike_displaced(spark):
-    """A pair of 0.8 or more is linked where a nearer pair by sketch that fails the check takes its place in the forest."""
-    rng = np.random.default_rng(74)
-    b = [f"w{x}" for x in rng.integers(0, 5000, 400)]
-    a, c = list(b), list(b)
-    for at in rng.choice(400, int(rng.integers(8, 11)), replace=False):
-        a[at] = f"e{rng.integers(5000)}"
-    for at in [i for i in range(400) if a[i] != b[i]][:2]:
-        c[at] = a[at]
-    texts = [" ".join(x) for x in (a, b, c)]
-    s = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
-    j = [len(s[x] & s[y]) / len(s[x] | s[y]) for x, y in ((0, 1), (0, 2), (1, 2))]
-    far = [((simhash.word_prints(texts[x], 5)[1] ^ simhash.word_prints(texts[y], 5)[1]) & (1 << 64) - 1).bit_count() for x, y in ((0, 1), (0, 2), (1, 2))]
-    assert j[0] < 0.8 <= min(j[1:]) and far[2] < far[0] < far[1]
-    assert {r["component_id"] for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == {0}
-
-
-def test_forest():
-    a, b, far = np.array([1, 2, 3, 1, 9]), np.array([2, 3, 1, 4, 8]), np.array([5, 1, 2, 3, 0])
-    assert sorted(zip(a[(k := simhash.forest(a, b, far))].tolist(), b[k].tolist())) == [(1, 4), (2, 3), (3, 1), (9, 8)]
-
-
 def test_simhash_odd(spark):
     d = odd(spark)
     got = {r["doc_id"]: r for r in simhash.groups(d).collect()}
     assert simhash.groups(d).count() == 8
     assert got[2]["fp"] == got[3]["fp"] == 0 and got[3]["component_id"] == 2 and got[1]["component_id"] == 1
-    kept = simhash.keep_one(d)
-    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 5, 6, 7, None}
-    assert simhash.groups(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
+    assert simhash.groups(empty(spark)).count() == 0
 
 
 # mixing
