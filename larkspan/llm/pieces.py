@@ -10,10 +10,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.shared import named, numbered
+from larkspan.llm.shared import named, numbered, release, slices
 
 #: The default model; any SentencePiece unigram or BPE model will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -126,50 +127,124 @@ def tokenizer(raw: bytes):
     return _made[key]
 
 
-class Words:
-    """Encodes texts by their marked words where no piece crosses words: each word of a batch is encoded once, all in one multithreaded call."""
+#: What units are parted by on the way; texts that have it are parted one by one.
+SEP = "\x1f"
+
+
+class Coder:
+    """Encodes batches of texts by units, each distinct unit once: encoded, decoded by the library's decoder and held against sentencepiece, all multithreaded.
+
+    A unit is a run of spaces with the word after it, or a line end. Both are proved on the vocabulary: no piece has a marker after another character, and
+    no piece but a byte has a line end, so no merge crosses the border of units. Where that or the plain normaliser is not given, and for texts with a
+    literal marker, whole texts are encoded, decoded and compared. `keep` bounds the units that are remembered.
+    """
 
     def __init__(self, raw: bytes, keep: int = 200_000):
-        self.model, self.tok = tokenizer(raw)
-        self.known: dict[str, list[int]] = {}
-        self.keep = keep
-        # words are given as normalised text
-        from tokenizers import Tokenizer, normalizers
+        import sentencepiece
+        from tokenizers import Tokenizer, decoders, normalizers
 
+        self.model, self.tok = tokenizer(raw)
+        m = self.model
+        self.judge, self.keep = sentencepiece.SentencePieceProcessor(model_proto=raw), keep
+        self.by_units = m.words_part and not m.charsmap and not m.squeeze and m.byte_fallback
+        self.lines = not any("\n" in p for p, _, _ in m.pieces)
+        # units are given as normalised text and keep their space
         self.plain = Tokenizer.from_str(self.tok.to_str())
         self.plain.normalizer = normalizers.Sequence([])
-        self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.model.words_part:
-            return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        norm = self.tok.normalizer.normalize_str
-        simple = not self.model.charsmap and not self.model.squeeze
-        front = MARK if self.model.dummy_prefix else ""
-        parts = [self.split((front if t else "") + t.replace(" ", MARK) if simple else norm(t)) for t in texts]
+        self.plain.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.split = re.compile(" +[^ \n]*|\n|[^ \n]+" if self.lines else " +[^ ]*|[^ ]+").findall
+        self.head = len(self.judge.encode("\n"))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.decodes, self.agrees = np.zeros(0, bool), np.zeros(0, bool)
+
+    def learn(self, units: list[str]) -> None:
+        """Ids of new units, whether they decode to themselves, and whether sentencepiece has the same ids."""
+        if not units:
+            return
+        found = [e.ids for e in self.plain.encode_batch([u.replace(" ", MARK) for u in units], add_special_tokens=False)]
+        back = self.plain.decode_batch(found, skip_special_tokens=False)
+        if self.model.dummy_prefix:  # sentencepiece puts a space before a text: a unit without one is asked for behind a line end
+            own = [u[1:] if u[0] == " " and u != " " else f"\n{u}" for u in units]
+            judged = [x if u[0] == " " and u != " " else x[self.head :] for u, x in zip(units, self.judge.encode(own, num_threads=1), strict=True)]
+        else:
+            judged = self.judge.encode(units, num_threads=1)
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+        self.size = np.concatenate((self.size, np.fromiter(map(len, found), np.int64, len(found))))
+        self.flat = np.concatenate((self.flat, *[np.array(x, np.int32) for x in found]))
+        self.decodes = np.concatenate((self.decodes, [b == u for b, u in zip(back, units, strict=True)]))
+        self.agrees = np.concatenate((self.agrees, [a == b for a, b in zip(judged, found, strict=True)]))
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(units of all texts one after the other, number by text), by the library of Arrow where no text needs more."""
+        front = " " if self.model.dummy_prefix else ""
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SEP))
+        if front:  # makes a run with a text's own first space
+            odd = pc.or_(odd, pc.starts_with(texts, front))
+        easy = pc.if_else(odd, "", texts)
+        if front:
+            easy = pc.if_else(pc.equal(easy, ""), "", pc.binary_join_element_wise(front, easy, ""))
+        if self.lines:
+            easy = pc.replace_substring(easy, "\n", f"{SEP}\n{SEP}")
+        parts = pc.split_pattern(pc.replace_substring(easy, " ", f"{SEP} "), SEP)
+        flat, n = parts.flatten(), pc.list_value_length(parts).to_numpy().astype(np.int64)
+        there = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(there):
+            return flat, n
+        own = [self.split(front + texts[int(i)].as_py()) for i in there]
+        at, pieces_, last = np.concatenate(([0], np.cumsum(n))), [], 0
+        for i, u in zip(there.tolist(), own, strict=True):
+            pieces_ += [flat.slice(at[last], at[i] - at[last]), pa.array(u, flat.type)]
+            n[i], last = len(u), i + 1
+        return pa.concat_arrays([*pieces_, flat.slice(at[last])]), n
+
+    def encode(self, texts: pa.Array, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For texts that are not null: (all ids, number by text, whether it decodes to itself, whether sentencepiece has the same ids).
+
+        asked: texts that sentencepiece is given whole besides.
+        """
+        whole = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False) if self.by_units else np.ones(len(texts), bool)
+        flat, n = self.units(pc.if_else(pa.array(whole), "", texts))
+        flat = flat.dictionary_encode()
+        words = flat.dictionary.to_pylist()
         if len(self.known) > self.keep:
-            self.known = {}
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        known.update(zip(new, (e.ids for e in self.plain.encode_batch(new, add_special_tokens=False)), strict=True))
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for w in p:
-                ids += known[w]
-            out.append(ids)
-        return out
-
-
-def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, check_every: int = 16, rows: int = 256) -> DataFrame:
-    """docs plus ids (array of int), n_pieces, decoded_ok (whether decoding gives the text back) and parity.
-
-    The model file is read once by the driver and sent along; its size is that of a vocabulary. Whole texts, in batches of `rows`, no special
-    pieces added. parity: whether sentencepiece gives the same ids; it is asked for every document whose xxhash64 of the text is
-    divisible by check_every (1: for all), for others parity is null. Null texts: all four null. Empty texts: no ids, true. Repeated rows stay,
-    an empty table stays empty; other columns are kept, whatever their names; the four
-    replace columns of these names. decoded_ok is false where a model's
-    normaliser changes the text (or a text starts with the dummy prefix's space, where the model strips it).
+            self.clear()
+        self.learn([w for w in words if w and w not in self.known])
+        slot = np.fromiter((self.known[w] if w else -1 for w in words), np.int64, len(words))[flat.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(n)), n)[slot >= 0]
+        slot = slot[slot >= 0]
+        size = self.size[slot]
+        starts = np.cumsum(self.size) - self.size
+        ids = self.flat[np.repeat(starts[slot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        number = np.bincount(row, size, len(n)).astype(np.int64)
+        every = lambda good: np.bincount(row, ~good[slot], len(n)) == 0
+        ok, same = every(self.decodes), every(self.agrees)
+        again = whole | ~ok | ~same | (False if asked is None else asked)
+        if again.any():
+            ends = np.cumsum(number)
+            at = np.flatnonzero(again).tolist()
+            parts = [ids[ends[i] - number[i] : ends[i]] for i in range(len(n))]
+            given = [texts[i].as_py() for i in at]
+            for i, e in zip([i for i in at if whole[i]], self.tok.encode_batch([t for i, t in zip(at, given, strict=True) if whole[i]], add_special_tokens=False), strict=True):
+                parts[i] = np.array(e.ids, np.int32)
+            back = self.tok.decode_batch([parts[i].tolist() for i in at], skip_special_tokens=False)
+            for i, t, b, j in zip(at, given, back, self.judge.encode(given, num_threads=1), strict=True):
+                ok[i], same[i] = b == t, parts[i].tolist() == j
+            ids, number = np.concatenate(parts).astype(np.int32), np.array([len(p) for p in parts], np.int64)
+        return ids, number, ok, same
+
+
+def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, check_every: int = 16) -> DataFrame:
+    """docs plus ids (array of int), n_pieces, decoded_ok (whether the library's decoder gives the text back) and parity (whether sentencepiece gives the same ids).
+
+    The model file is read once by the driver and sent along; its size is that of a vocabulary. Whole texts, in slices of bounded size, no special
+    pieces added. Both checks hold for every text: unit by unit (see Coder), and over the whole text for those whose xxhash64 is divisible by
+    check_every, those with a unit that fails and those that are not parted. Null texts: all four null. Empty texts: no ids, true.
+    Repeated rows stay, an empty table stays empty; other columns are kept, whatever their names; the four replace columns of these names.
+    decoded_ok is false where a model's normaliser changes the text or the text has a literal marker.
     """
     from pyspark.sql import types as T
 
@@ -177,50 +252,29 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, check_every: i
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "n_pieces", "decoded_ok", "parity")]
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("decoded_ok", T.BooleanType()), T.StructField("parity", T.BooleanType())])
     x, at = numbered(docs)
-    marked = x.select(*[at[f.name] for f in kept], F.col(at["text"]).alias("text"), (F.pmod(F.xxhash64(at["text"]), F.lit(check_every)) == 0).alias("asked"))
+    marked = x.select(*[at[f.name] for f in kept], F.col(at["text"]).alias("text"), F.coalesce(F.pmod(F.xxhash64(at["text"]), F.lit(check_every)) == 0, F.lit(False)).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        import sentencepiece
-
-        coder, judge = Words(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+        coder = Coder(raw)
         for whole in batches:
-            for start in range(0, len(whole), rows):
-                b = whole.slice(start, rows)
-                texts = b.column("text").to_pylist()
-                there = [i for i, t in enumerate(texts) if t is not None]
-                given = [texts[i] for i in there]
-                ids: list = [None] * len(texts)
-                ok: list = [None] * len(texts)
-                same: list = [None] * len(texts)
-                found = coder.encode(given)
-                asked = b.column("asked").to_pylist()
-                for i, t, x, back in zip(there, given, found, decode_batch(coder, found), strict=True):
-                    ids[i], ok[i] = x, back == t
-                    if asked[i]:
-                        same[i] = judge.encode(t) == x
-                more = [pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(ok, pa.bool_()), pa.array(same, pa.bool_())]
+            for b in slices(whole, "text"):
+                texts = b.column("text")
+                there = texts.is_valid().to_numpy(zero_copy_only=False)
+                ids, n, ok, same = coder.encode(texts.filter(pa.array(there)).cast(pa.string()), b.column("asked").to_numpy(zero_copy_only=False)[there])
+                number = np.zeros(len(b), np.int64)
+                number[there] = n
+                offsets = np.concatenate(([0], np.cumsum(number))).astype(np.int32)
+                put = lambda v: pa.array(np.where(there, v, 0) if v.dtype != bool else v, mask=~there)
+                full_ok, full_same = np.zeros(len(b), bool), np.zeros(len(b), bool)
+                full_ok[there], full_same[there] = ok, same
+                more = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array(~there)), put(number), put(full_ok), put(full_same)]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(schema.names) - 4], *more], names=schema.names)
+            release()
 
     return marked.mapInArrow(run, schema)
 
 
-_bytes = re.compile(r"<0x([0-9A-F]{2})>\Z")
-
-
-def decode_batch(coder: Words, found: list[list[int]]) -> list[str]:
-    """Texts of lists of ids: piece strings as UTF-8, byte pieces as bytes, the marker as a space, the dummy prefix's space off."""
-    m = coder.model
-    if not hasattr(coder, "raw"):
-        coder.raw = [bytes([int(x[1], 16)]) if t == BYTE and (x := _bytes.match(p)) else b"" if t in (CONTROL, UNUSED) else p.replace(MARK, " ").encode() for p, _, t in m.pieces]
-    raw = coder.raw
-    out = []
-    for ids in found:
-        t = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        out.append(t[1:] if m.dummy_prefix and t.startswith(" ") else t)
-    return out
-
-
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """rows plus decoded, the text of ids, by the tokenizers library's own decoder, multithreaded. Null ids: null; no ids: empty. Other columns are kept."""
     raw = open(model, "rb").read()

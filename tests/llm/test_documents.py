@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,9 +226,14 @@ def test_mix_odd(spark):
 
 
 def test_pieces_parity(spark, data):
-    d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "a  b\n\n ▁c \U0001f600 \x00 é"), (-2, " lead"), (-3, ""), (-4, None), (-5, "▁")], "doc_id long, text string"))
-    got = pieces.encode(d, check_every=1)
-    assert got.where("text is not null and not parity").count() == 0
+    d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "a  b\n\n ▁c \U0001f600 \x00 é"), (-2, " lead"), (-3, ""), (-4, None), (-5, "▁"), (-6, "\n x\n\n  y \n"), (-7, "tail \t  "), (-8, "a\x1fb  c"), (-9, "</s> <s>[INST] <0x0A>")], "doc_id long, text string"))
+    for every in (1, 1 << 40):  # each text whole; unit by unit only
+        got = pieces.encode(d, check_every=every)
+        assert got.where("text is not null and not parity").count() == 0
+    import sentencepiece
+
+    judge = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert all(r["ids"] == judge.encode(r["text"]) for r in got.where("text is not null").collect())
     assert got.where("doc_id >= 0 and not decoded_ok").count() == 0
     r = {x["doc_id"]: x for x in got.where("doc_id < 0").collect()}
     assert r[-4]["ids"] is None and r[-4]["parity"] is None and r[-3]["ids"] == [] and r[-3]["decoded_ok"] and r[-2]["decoded_ok"]
@@ -264,11 +270,12 @@ def test_pieces_unigram(spark):
     import sentencepiece
 
     judge = sentencepiece.SentencePieceProcessor(model_proto=raw)
-    coder = pieces.Words(raw)
-    texts = ["ab abc", "a  b", "é ab", "", "cab"]
-    found = coder.encode(texts)
-    assert found == [judge.encode(t) for t in texts]
-    assert pieces.decode_batch(coder, found) == texts
+    coder = pieces.Coder(raw)
+    texts = ["ab abc", "a  b", "é ab", "", "cab", "\na\n\nab ", " a", "▁a b", "a\x1fb c"]
+    ids, n, ok, same = coder.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [judge.encode(t) for t in texts]
+    assert same.all() and ok.tolist() == ["▁" not in t for t in texts]
+    assert all(len(x) == 0 for x in coder.encode(pa.array([], pa.string())))
 
 
 def test_pieces_odd(spark):
