@@ -127,56 +127,65 @@ def tokenizer(raw: bytes):
     return _made[key]
 
 
-#: What units are parted by on the way; texts that have it are parted one by one.
-SEP = "\x1f"
+#: What units are parted by on the way; texts that have it are parted one by one. Units in a run that is encoded at once.
+SEP, RUN = "\x1f", 64
 
 
 class Coder:
-    """Encodes batches of texts by units, each distinct unit once: encoded, decoded by the library's decoder and held against sentencepiece, all multithreaded.
+    """Encodes batches of texts by units, each distinct unit of a batch once: encoded, decoded by the library's decoder and held against sentencepiece.
 
     A unit is a run of spaces with the word after it, or a line end. Both are proved on the vocabulary: no piece has a marker after another character, and
-    no piece but a byte has a line end, so no merge crosses the border of units. Where that or the plain normaliser is not given, and for texts with a
-    literal marker, whole texts are encoded, decoded and compared. `keep` bounds the units that are remembered.
+    no piece but a byte has a line end, so no merge crosses the border of units. So runs of units, parted by line ends, go through both libraries
+    at once; a run that either does not give back is tried unit by unit. Where the vocabulary or the normaliser does not allow that, and for
+    texts with a literal marker, whole texts are encoded, decoded and compared.
     """
 
-    def __init__(self, raw: bytes, keep: int = 200_000):
+    def __init__(self, raw: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer, decoders, normalizers
+        from tokenizers import Tokenizer, decoders
 
         self.model, self.tok = tokenizer(raw)
         m = self.model
-        self.judge, self.keep = sentencepiece.SentencePieceProcessor(model_proto=raw), keep
-        self.by_units = m.words_part and not m.charsmap and not m.squeeze and m.byte_fallback
-        self.lines = not any("\n" in p for p, _, _ in m.pieces)
+        self.judge = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        end = [i for i, (p, _, t) in enumerate(m.pieces) if t == BYTE and p == "<0x0A>"]
+        self.by_units = m.words_part and not m.charsmap and not m.squeeze and m.byte_fallback and bool(end) and not any("\n" in p for p, _, _ in m.pieces)
+        self.end = end[0] if end else -1
         # units are given as normalised text and keep their space
-        self.plain = Tokenizer.from_str(self.tok.to_str())
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tok.model)
         self.plain.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        self.split = re.compile(" +[^ \n]*|\n|[^ \n]+" if self.lines else " +[^ ]*|[^ ]+").findall
-        self.head = len(self.judge.encode("\n"))
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.decodes, self.agrees = np.zeros(0, bool), np.zeros(0, bool)
-
-    def learn(self, units: list[str]) -> None:
-        """Ids of new units, whether they decode to themselves, and whether sentencepiece has the same ids."""
-        if not units:
-            return
-        found = [e.ids for e in self.plain.encode_batch([u.replace(" ", MARK) for u in units], add_special_tokens=False)]
+        self.split = re.compile(" +[^ \n]*|\n|[^ \n]+").findall
+        self.head = len(self.judge.encode("\n")) if m.dummy_prefix else 0  # sentencepiece puts a space before a text, so it is asked behind a line end
+
+    def learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number by unit, whether it decodes to itself, whether sentencepiece has the same ids) of distinct units."""
+        runs = np.append(np.arange(0, len(units), RUN, dtype=np.int32), np.int32(len(units)))
+        own = pc.if_else(pc.equal(units, "\n"), "", units)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(runs), own), "\n").to_pylist()
+        found = [e.ids for e in self.plain.encode_batch([t.replace(" ", MARK) for t in texts], add_special_tokens=False)]
         back = self.plain.decode_batch(found, skip_special_tokens=False)
-        if self.model.dummy_prefix:  # sentencepiece puts a space before a text: a unit without one is asked for behind a line end
-            own = [u[1:] if u[0] == " " and u != " " else f"\n{u}" for u in units]
-            judged = [x if u[0] == " " and u != " " else x[self.head :] for u, x in zip(units, self.judge.encode(own, num_threads=1), strict=True)]
-        else:
-            judged = self.judge.encode(units, num_threads=1)
-        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        self.size = np.concatenate((self.size, np.fromiter(map(len, found), np.int64, len(found))))
-        self.flat = np.concatenate((self.flat, *[np.array(x, np.int32) for x in found]))
-        self.decodes = np.concatenate((self.decodes, [b == u for b, u in zip(back, units, strict=True)]))
-        self.agrees = np.concatenate((self.agrees, [a == b for a, b in zip(judged, found, strict=True)]))
+        front = "\n" if self.head else ""
+        judged = self.judge.encode([front + t for t in texts], num_threads=1)
+        good = [b == t and j[self.head :] == x and x.count(self.end) == n - 1 for t, x, b, j, n in zip(texts, found, back, judged, np.diff(runs).tolist(), strict=True)]
+        ok = same = np.ones(len(units), bool)
+        if not all(good):
+            ok, same = ok.copy(), same.copy()
+            for r in [r for r, g in enumerate(good) if not g]:
+                one = own.slice(r * RUN, RUN).to_pylist()
+                ids = [e.ids for e in self.plain.encode_batch([t.replace(" ", MARK) for t in one], add_special_tokens=False)]
+                ok[r * RUN : (r + 1) * RUN] = [b == t for b, t in zip(self.plain.decode_batch(ids, skip_special_tokens=False), one, strict=True)]
+                same[r * RUN : (r + 1) * RUN] = [j[self.head :] == x and self.end not in x for j, x in zip(self.judge.encode([front + t for t in one], num_threads=1), ids, strict=True)]
+                found[r] = [i for x in ids for i in (*(y for y in x if y != self.end), self.end)][:-1]
+        ids = np.concatenate([np.array([*x, self.end], np.int32) for x in found]) if found else np.zeros(0, np.int32)
+        ends = np.flatnonzero(ids == self.end)
+        size = np.diff(ends, prepend=-1) - 1
+        line = pc.index(units, "\n").as_py()
+        if line >= 0:  # its ids are the parting end itself
+            size[line] = 1
+            keep = np.ones(len(ids), bool)
+            keep[ends] = False
+            keep[ends[line]] = True
+            return ids[keep], size, ok, same
+        return ids[ids != self.end], size, ok, same
 
     def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(units of all texts one after the other, number by text), by the library of Arrow where no text needs more."""
@@ -187,8 +196,7 @@ class Coder:
         easy = pc.if_else(odd, "", texts)
         if front:
             easy = pc.if_else(pc.equal(easy, ""), "", pc.binary_join_element_wise(front, easy, ""))
-        if self.lines:
-            easy = pc.replace_substring(easy, "\n", f"{SEP}\n{SEP}")
+        easy = pc.replace_substring(easy, "\n", f"{SEP}\n{SEP}")
         parts = pc.split_pattern(pc.replace_substring(easy, " ", f"{SEP} "), SEP)
         flat, n = parts.flatten(), pc.list_value_length(parts).to_numpy().astype(np.int64)
         there = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
@@ -209,19 +217,13 @@ class Coder:
         whole = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False) if self.by_units else np.ones(len(texts), bool)
         flat, n = self.units(pc.if_else(pa.array(whole), "", texts))
         flat = flat.dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        if len(self.known) > self.keep:
-            self.clear()
-        self.learn([w for w in words if w and w not in self.known])
-        slot = np.fromiter((self.known[w] if w else -1 for w in words), np.int64, len(words))[flat.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(n)), n)[slot >= 0]
-        slot = slot[slot >= 0]
-        size = self.size[slot]
-        starts = np.cumsum(self.size) - self.size
-        ids = self.flat[np.repeat(starts[slot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        number = np.bincount(row, size, len(n)).astype(np.int64)
+        known, size, decodes, agrees = self.learn(flat.dictionary)
+        slot, row = flat.indices.to_numpy(), np.repeat(np.arange(len(n)), n)
+        starts, number = np.cumsum(size) - size, size[slot]
+        ids = known[np.repeat(starts[slot] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))]
+        number = np.bincount(row, number, len(n)).astype(np.int64)
         every = lambda good: np.bincount(row, ~good[slot], len(n)) == 0
-        ok, same = every(self.decodes), every(self.agrees)
+        ok, same = (np.ones(len(n), bool), np.ones(len(n), bool)) if decodes.all() and agrees.all() else (every(decodes), every(agrees))
         again = whole | ~ok | ~same | (False if asked is None else asked)
         if again.any():
             ends = np.cumsum(number)
@@ -258,7 +260,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, check_every: i
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         coder = Coder(raw)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 8192, 1 << 23):
                 texts = b.column("text")
                 there = texts.is_valid().to_numpy(zero_copy_only=False)
                 ids, n, ok, same = coder.encode(texts.filter(pa.array(there)).cast(pa.string()), b.column("asked").to_numpy(zero_copy_only=False)[there])
