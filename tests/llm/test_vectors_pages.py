@@ -98,6 +98,38 @@ def test_topk_brute(spark, block):
     assert few.count() == 3
 
 
+def test_topk_stops_early():
+    """Queries stop before the last tier, more of them with a score that an earlier block gave; results stay exact."""
+    rng = np.random.default_rng(1)
+    x = np.floor(1024 * rng.normal(size=(4096, 64)) / 8).astype(np.int64)
+    q = np.floor(1024 * rng.normal(size=(50, 64)) / 8).astype(np.int64)
+    ids = np.arange(4096)
+    index = topk.Index(x, ids)
+    own = np.full(50, -1)
+    own[0] = 7
+    every = q @ x.T
+    every[0, 7] = -(1 << 40)
+    best = np.sort(every, axis=1)[:, ::-1]
+    used = []
+    for least in (np.full(50, -np.inf), best[:, 9].astype(float)):
+        c, found, scores, took = index.search(q, own, 10, least)
+        for i in range(50):
+            want = sorted(zip(-every[i], ids))[:10]
+            assert list(zip(-scores[c == i], found[c == i])) == want
+        used.append(took)
+        assert (took < len(index.tiers)).mean() >= 0.9
+    assert (used[1] <= used[0]).all() and used[1].sum() < used[0].sum()
+
+
+def test_topk_odd(spark):
+    """Null ids, repeated rows, one id with different vectors, large components, ties."""
+    v = [1.0, -2.0]
+    rows = [(1, v), (1, v), (None, v), (2, [3e12, 1.0]), (3, [0.0, 0.0]), (3, v), (0, v), (0, [-1.0, 0.0]), (4, v)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.search(d, d.where("vec_id = 0")).collect()), key=lambda r: r[1])
+    assert [r[2:] for r in got] == [(3, 0), (1, -(1 << 20)), (1, -(1 << 20)), (3, -(1 << 20)), (4, -(1 << 20)), (2, -1024 * 3 * 10**12 * 1024)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t {n}</title><style>p{{}}</style><script>var a = "<p>no</p>";</script></head><body>
 <header><a href="/">Site &amp; name</a></header><nav class="menu"><ul><li>Home<li>News</ul></nav><div class="cookie-notice"><p>We use cookies {n}</p></div>
 <main><article><header><h1>Title&nbsp;{n} &lt;x&gt;</h1></header><p>First   <b>bold</b> &#233;t&eacute; {n}.<p>Second<br>line {n} with a link <a href="#">here</a>, then.</p>{more}<form><p>Mail?</p><input name=a></form>
