@@ -1,7 +1,8 @@
 """Operator 3, line deduplication by a log-template tree of fixed depth. Main path: DataFrame functions only.
 
-A line is masked (tokens with a digit become <*>) and goes down the tree: token count, then its leading tokens. In a leaf whose lines
-agree at most positions, the positions that differ are generalised too and the leaf is one template; else each masked line is its own.
+A line is masked (tokens with a digit become <*>) and goes down the tree: token count, then its leading tokens. Lines of a leaf that agree with
+its most frequent tokens at most positions are one template, whose other positions are generalised; the rest is parted further and tried again. What is alike
+to nothing is its own template.
 A template that recurs across documents is dropped from them. Equal texts count as one document and so does a group of near copies, told by
 whole documents: a text most of whose lines stand in m texts counts as 1 / m of one. Copies are left to the near-duplicate operators.
 """
@@ -15,11 +16,13 @@ from larkspan.llm.shared import named, numbered, spool
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
-#: Share of equal positions from which a leaf is generalised into one template, and the least tokens for that.
+#: Share of positions at which a line must have a node's most frequent tokens to be of its template, and the least tokens for that.
 AGREE, LEAST = 0.6, 6
 #: A template recurs from so many documents on. Texts with few lines of their own count too, if they are this share of a template's texts.
 DOCS, SHARE = 4, 0.5
 MASK = "<*>"
+#: Rows of a table of hashes that is broadcast at most.
+SMALL = 200_000
 
 
 def masked(text: Column) -> Column:
@@ -44,22 +47,57 @@ def line_table(docs: DataFrame, depth: int = DEPTH, lines: bool = False) -> Data
     return x.select("doc_id", "body", F.explode(rows).alias("f")).select("doc_id", "body", "f.*")
 
 
+def _small(x: DataFrame, bound: int = SMALL) -> DataFrame:
+    """A written table, broadcast if it has no more rows than the bound."""
+    return F.broadcast(x) if x.limit(bound + 1).count() <= bound else x
+
+
+def tokens_of(docs: DataFrame, lines: DataFrame, depth: int) -> DataFrame:
+    """(leaf, line, tokens) of the masked lines (leaf, line, body): one text that has a line is masked again, not all that have it."""
+    own = spool(lines.groupBy("leaf", "line").agg(F.min("body").alias("body")), "wanted")
+    bodies = spool(own.select("body").distinct(), "bodies")
+    few = bodies.limit(SMALL + 1).count() <= SMALL
+    x = docs.join(F.broadcast(bodies), F.xxhash64("text") == F.col("body"), "left_semi") if few else docs
+    x = line_table(x, depth, True).join(_small(own).select("line", "body"), ["line", "body"], "left_semi")
+    return x.groupBy("leaf", "line").agg(F.split(F.min("masked"), " ").alias("tokens"))
+
+
 def templates(docs: DataFrame, lines: DataFrame, by: DataFrame, depth: int = DEPTH, agree: float = AGREE, least: int = LEAST, n_docs: int = DOCS, share: float = SHARE) -> DataFrame:
-    """(leaf, line, template): the template of each masked line that its leaf generalises; other lines are their own template and have no row here.
+    """(leaf, line, template): the template of each masked line that is generalised; other lines are their own template and have no row here.
 
-    Only leaves with several lines that as one template would recur are looked at; the tokens of just these lines are read again from docs.
+    In a node of the tree (at first a leaf) the lines that have the node's most frequent token (ties: the smaller) at `agree` of the positions or more are one template,
+    if they are several and it recurs. The other lines go down by their tokens at the position where these are the fewest different ones (ties: the
+    first position), and so on until no node has several lines that as one template would recur. Only such nodes are looked at.
     """
-    many = lines.groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("leaf")
-    whole = recurring(lines.select("body", F.col("leaf").alias("template"), F.lit(True).alias("general")), by, n_docs, share).select(F.col("template").alias("leaf"))
-    many = spool(many.join(whole, "leaf", "left_semi"), "leaves")
+    held = lambda x: recurring(x.select("body", F.col("node").alias("template"), F.lit(True).alias("general")), by, n_docs, share).select(F.col("template").alias("node"))
+    several = lambda x: x.groupBy("node").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("node")
+    x = lines.select(F.col("leaf").alias("node"), "line", "body")
+    many = spool(several(x).join(held(x), "node", "left_semi"), "leaves")
+    own = lines.join(_small(many), F.col("leaf") == F.col("node"), "left_semi").select("leaf", "line", "body")
+    own = spool(own, "narrow")
+    none = lines.select("leaf", "line", F.col("leaf").alias("template")).where("false")
     if many.isEmpty():
-        return lines.select("leaf", "line", F.col("leaf").alias("template")).where("false")
-    own = line_table(docs, depth, True).join(many, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
-    own = spool(own.select("leaf", "line", F.split("masked", " ").alias("tokens")).where(F.size("tokens") >= least), "tokens")
-    at = own.select("leaf", F.posexplode("tokens").alias("p", "w")).groupBy("leaf", "p").agg(F.min("w").alias("low"), F.max("w").alias("high"))
-    same = F.avg(F.when(F.col("low") == F.col("high"), 1.0).otherwise(0.0))
-    good = at.groupBy("leaf").agg(same.alias("same")).where(F.col("same") >= agree).select("leaf")
-    return own.select("leaf", "line").join(good, "leaf", "left_semi").withColumn("template", F.col("leaf"))
+        return none
+    bodies = own.select("line", "body").distinct()
+    rest = spool(tokens_of(docs, own, depth).where(F.size("tokens") >= least).withColumn("node", F.col("leaf")), "tokens")
+    found = none
+    while not rest.isEmpty():
+        at = rest.select("node", "line", F.posexplode("tokens").alias("p", "w"))
+        n = at.groupBy("node", "p", "w").agg(F.count("*").alias("n"))
+        main = n.groupBy("node", "p").agg(F.min(F.struct(-F.col("n"), "w"))["w"].alias("main"))
+        near = at.join(main, ["node", "p"]).groupBy("node", "line").agg(F.avg((F.col("w") == F.col("main")).cast("double")).alias("near")).where(F.col("near") >= agree).select("node", "line")
+        near = spool(near, "near")
+        near = near.join(several(near).join(held(near.join(bodies, "line")), "node", "left_semi"), "node", "left_semi")
+        made = spool(rest.join(near, ["node", "line"], "left_semi").select("leaf", "line", F.xxhash64("node", F.lit(1)).alias("template")), "made")
+        found = found.unionAll(made)
+        left = spool(rest.join(near, ["node", "line"], "left_anti"), "left")
+        n = left.select("node", F.posexplode("tokens").alias("p", "w")).groupBy("node", "p").agg(F.count_distinct("w").alias("n")).where("n > 1")
+        cut = n.groupBy("node").agg(F.min(F.struct("n", "p"))["p"].alias("p"))
+        left = left.join(cut, "node").withColumn("node", F.xxhash64("node", "p", F.element_at("tokens", F.col("p") + 1))).drop("p")
+        left = spool(left, "down")
+        going = several(left).join(held(left.join(bodies, "line").select("node", "body")), "node", "left_semi")
+        rest = spool(left.join(going, "node", "left_semi"), "rest")
+    return found
 
 
 def weights(lines: DataFrame) -> DataFrame:
@@ -93,13 +131,14 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE, least:
     an id. An empty table stays empty. Other columns are kept as they are, n_chars
     included, whatever their names; lines_dropped replaces a column of that name.
     """
-    seen = spool(line_table(docs.select("doc_id", "text"), depth), "lines")
+    x = docs.select("doc_id", "text")
+    seen = spool(line_table(x, depth), "lines")
     by = spool(weights(seen), "weights")
-    made = templates(docs.select("doc_id", "text"), seen, by, depth, agree, least, n_docs, share)
-    narrow = seen.join(made.withColumnRenamed("leaf", "own"), "line", "left").withColumn("general", F.coalesce(F.col("own") == F.col("leaf"), F.lit(False)))
-    narrow = narrow.select("doc_id", "body", "at", "general", F.when(F.col("general"), F.col("template")).otherwise(F.col("line")).alias("template"))
+    made = spool(templates(x, seen, by, depth, agree, least, n_docs, share), "general")
+    narrow = seen.join(_small(made).select(F.col("line").alias("own"), "template"), F.col("line") == F.col("own"), "left")
+    narrow = narrow.select("doc_id", "body", "at", F.col("own").isNotNull().alias("general"), F.coalesce("template", "line").alias("template"))
     narrow = spool(narrow, "templates")
-    out = narrow.join(recurring(narrow, by, n_docs, share).select("template"), "template", "left_semi")
+    out = narrow.join(_small(spool(recurring(narrow, by, n_docs, share).select("template"), "recurring")), "template", "left_semi")
     out = out.groupBy("doc_id", "body").agg(F.collect_set("at").alias("out")).select(F.col("doc_id").alias("out_id"), F.col("body").alias("out_body"), "out")
     x, at = numbered(docs)
     x = x.withColumn("own_body", F.xxhash64(at["text"])).join(out, F.col(at["doc_id"]).eqNullSafe(F.col("out_id")) & (F.col("own_body") == F.col("out_body")), "left")

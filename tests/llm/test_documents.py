@@ -112,6 +112,86 @@ def test_lines_footer_and_copies(spark):
     assert all(got[i]["text"] == "\n".join(r[:-3]) and got[i]["lines_dropped"] == 3 for i, r in enumerate(rows))
 
 
+def brute_lines(docs, depth=3, agree=0.6, least=6, n_docs=4, share=0.5):
+    """Texts without the lines of recurring templates, by plain Python over (id, text) without nulls."""
+    def mask(line):
+        line = re.sub(" {2,}", " ", line.translate({9: 32, 13: 32, 12: 32, 11: 32}))
+        return " ".join("<*>" if re.search("[0-9]", w) else w for w in line.split(" ")).strip(" ")
+
+    texts = sorted({t for _, t in docs})
+    own = {t: [m for m in map(mask, t.split("\n")) if m] for t in texts}
+    leaf = lambda m: (m.count(" "), " ".join(m.split(" ")[:depth]))
+    in_leaf = Counter(f for t in texts for f in {leaf(m) for m in own[t]})
+    half, some = {}, {}
+    for t in texts:
+        n = sorted(in_leaf[leaf(m)] for m in own[t])
+        if n:
+            half[t], some[t] = 1 / n[int(len(n) * 0.5)], 1 / n[int(len(n) * 0.2)]
+    has = {}
+    for t in texts:
+        for m in own[t]:
+            has.setdefault(m, set()).add(t)
+
+    def recurs(lines_, general):
+        of = set().union(*(has[m] for m in lines_))
+        h, s = sum(half[t] for t in of), sum(some[t] for t in of)
+        return h >= n_docs - 1e-6 or not general and s >= n_docs - 1e-6 and s >= share * len(of) - 1e-6
+
+    general = set()
+
+    def down(lines_):
+        if len(lines_) < 2 or not recurs(lines_, True):
+            return
+        words = {m: m.split(" ") for m in lines_}
+        size = len(words[lines_[0]])
+        if size < least:
+            return
+        main = [min(Counter(w[p] for w in words.values()).items(), key=lambda x: (-x[1], x[0]))[0] for p in range(size)]
+        near = [m for m in lines_ if sum(a == b for a, b in zip(words[m], main)) / size >= agree]
+        if len(near) > 1 and recurs(near, True):
+            general.update(near)
+            lines_ = [m for m in lines_ if m not in set(near)]
+        kinds = [len({words[m][p] for m in lines_}) for p in range(size)]
+        at = min((k, p) for p, k in enumerate(kinds) if k > 1)[1] if lines_ and max(kinds) > 1 else None
+        if at is not None:
+            for w in sorted({words[m][at] for m in lines_}):
+                down([m for m in lines_ if words[m][at] == w])
+
+    by_leaf = {}
+    for m in has:
+        by_leaf.setdefault(leaf(m), []).append(m)
+    for found in by_leaf.values():
+        down(sorted(found))
+    gone = general | {m for m in has if m not in general and recurs([m], False)}
+    return {(i, t): "\n".join(x for x in t.split("\n") if mask(x) not in gone) for i, t in docs}
+
+
+def test_lines_brute(spark, data):
+    """The tree against plain Python on all documents of the small table, with mixed leaves and footers planted."""
+    rng = np.random.default_rng(9)
+    docs = [(r[0], r[1]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect() if r[1]]
+    names = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40)]
+    for i in range(60):
+        kind = ("Shared by our reader {} on site today now", "Shared by our {} shop in old town {}", "Shared by our team of {} and more people")[i % 3]
+        docs.append((5000 + i, f"own {names[i % 40]} text {'x' * i}\n" + kind.format(*rng.choice(names, 2)) + f"\nlast {names[-i % 40]} words {'y' * i}"))
+    docs += [(6000 + i, f"Shared by our {' '.join(rng.choice(names, 5))}") for i in range(5)]
+    got = {(r["doc_id"], r["old"]): r["text"] for r in lines.drop_lines(spark.createDataFrame([(i, t, t) for i, t in docs], "doc_id long, text string, old string")).collect()}
+    want = brute_lines(docs)
+    assert got == want
+    assert any(v != k[1] for k, v in want.items() if k[0] < 5000)
+
+
+def test_lines_mixed_leaf(spark):
+    """Strays in a leaf do not save a template, and a leaf can hold two."""
+    rng = np.random.default_rng(2)
+    names = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(200)]
+    rows = [(i, f"u{names[i]}a own words\nShared by our reader {names[i]} on site today now\nv{names[i]} more") for i in range(60)]
+    rows += [(100 + i, f"u{names[i + 60]} own words\nShared by our {names[i + 60]} shop of the town\nv{names[i + 60]}b more of it") for i in range(40)]
+    rows += [(200 + i, f"u{names[i + 120]} words\nShared by our {' '.join(names[i + 130 : i + 135])}\nv{names[i + 120]}b more c") for i in range(5)]
+    got = {r["doc_id"]: r["lines_dropped"] for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(n == (1 if i < 200 else 0) for i, n in got.items())
+
+
 def test_lines_odd(spark):
     d = odd(spark)
     got = lines.drop_lines(d)
