@@ -22,7 +22,7 @@ AGREE, LEAST = 0.6, 6
 DOCS, SHARE = 4, 0.5
 MASK = "<*>"
 #: Rows of a table of hashes that is broadcast at most.
-SMALL = 200_000
+SMALL = 100_000
 
 
 def masked(text: Column) -> Column:
@@ -82,11 +82,11 @@ def templates(docs: DataFrame, lines: DataFrame, by: DataFrame, depth: int = DEP
     rest = spool(tokens_of(docs, own, depth).where(F.size("tokens") >= least).withColumn("node", F.col("leaf")), "tokens")
     found = none
     while not rest.isEmpty():
-        at = rest.select("node", "line", F.posexplode("tokens").alias("p", "w"))
-        n = at.groupBy("node", "p", "w").agg(F.count("*").alias("n"))
-        main = n.groupBy("node", "p").agg(F.min(F.struct(-F.col("n"), "w"))["w"].alias("main"))
-        near = at.join(main, ["node", "p"]).groupBy("node", "line").agg(F.avg((F.col("w") == F.col("main")).cast("double")).alias("near")).where(F.col("near") >= agree).select("node", "line")
-        near = spool(near, "near")
+        n = rest.select("node", F.posexplode("tokens").alias("p", "w")).groupBy("node", "p", "w").agg(F.count("*").alias("n"))
+        main = n.groupBy("node", "p").agg(F.min(F.struct(-F.col("n"), "w"))["w"].alias("w"))
+        main = main.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "w"))), lambda x: x["w"]).alias("main"))
+        same = F.size(F.filter(F.zip_with("tokens", "main", lambda a, b: a == b), lambda x: x))
+        near = spool(rest.join(main, "node").where(same >= F.size("tokens") * F.lit(agree)).select("node", "line"), "near")
         near = near.join(several(near).join(held(near.join(bodies, "line")), "node", "left_semi"), "node", "left_semi")
         made = spool(rest.join(near, ["node", "line"], "left_semi").select("leaf", "line", F.xxhash64("node", F.lit(1)).alias("template")), "made")
         found = found.unionAll(made)
@@ -106,7 +106,7 @@ def weights(lines: DataFrame) -> DataFrame:
     Near copies share nearly all leaves, so a group of m counts about once. A text with lines of its own counts once by some, and by half if they are more than half.
     """
     n = lines.groupBy("leaf", "body").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
-    at = lines.groupBy("body", "at").agg(F.min("leaf").alias("leaf")).join(n, "leaf", "left")
+    at = lines.groupBy("body", "at").agg(F.min("leaf").alias("leaf")).join(_small(spool(n, "shared")), "leaf", "left")
     x = at.groupBy("body").agg(F.sort_array(F.collect_list(F.coalesce("n", F.lit(1)))).alias("n"))
     part = lambda of: 1.0 / F.get("n", F.floor(F.size("n") * F.lit(of)).cast("int"))
     return x.select("body", part(0.5).alias("half"), part(0.2).alias("some"))
