@@ -68,6 +68,7 @@ def templates(docs: DataFrame, lines: DataFrame, by: DataFrame, depth: int = DEP
     In a node of the tree (at first a leaf) the lines that have the node's most frequent token (ties: the smaller) at `agree` of the positions or more are one template,
     if they are several and it recurs. The other lines go down by their tokens at the position where these are the fewest different ones (ties: the
     first position), and so on until no node has several lines that as one template would recur. Only such nodes are looked at.
+    Lines are dealt by their own hash before their tokens are counted, so that a large node is every task's.
     """
     held = lambda x: recurring(x.select("body", F.col("node").alias("template"), F.lit(True).alias("general")), by, n_docs, share).select(F.col("template").alias("node"))
     several = lambda x: x.groupBy("node").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("node")
@@ -79,7 +80,7 @@ def templates(docs: DataFrame, lines: DataFrame, by: DataFrame, depth: int = DEP
     if many.isEmpty():
         return none
     bodies = own.select("line", "body").distinct()
-    rest = spool(tokens_of(docs, own, depth).where(F.size("tokens") >= least).withColumn("node", F.col("leaf")), "tokens")
+    rest = spool(tokens_of(docs, own, depth).where(F.size("tokens") >= least).withColumn("node", F.col("leaf")).repartition("line"), "tokens")
     found = none
     while not rest.isEmpty():
         n = rest.select("node", F.posexplode("tokens").alias("p", "w")).groupBy("node", "p", "w").agg(F.count("*").alias("n"))
@@ -90,13 +91,13 @@ def templates(docs: DataFrame, lines: DataFrame, by: DataFrame, depth: int = DEP
         near = near.join(several(near).join(held(near.join(bodies, "line")), "node", "left_semi"), "node", "left_semi")
         made = spool(rest.join(near, ["node", "line"], "left_semi").select("leaf", "line", F.xxhash64("node", F.lit(1)).alias("template")), "made")
         found = found.unionAll(made)
-        left = spool(rest.join(near, ["node", "line"], "left_anti"), "left")
+        left = spool(rest.join(near, ["node", "line"], "left_anti").repartition("line"), "left")
         n = left.select("node", F.posexplode("tokens").alias("p", "w")).groupBy("node", "p").agg(F.count_distinct("w").alias("n")).where("n > 1")
         cut = n.groupBy("node").agg(F.min(F.struct("n", "p"))["p"].alias("p"))
         left = left.join(cut, "node").withColumn("node", F.xxhash64("node", "p", F.element_at("tokens", F.col("p") + 1))).drop("p")
         left = spool(left, "down")
         going = several(left).join(held(left.join(bodies, "line").select("node", "body")), "node", "left_semi")
-        rest = spool(left.join(going, "node", "left_semi"), "rest")
+        rest = spool(left.join(going, "node", "left_semi").repartition("line"), "rest")
     return found
 
 
