@@ -80,10 +80,10 @@ def templates(docs: DataFrame, lines: DataFrame, by: DataFrame, depth: int = DEP
     if many.isEmpty():
         return none
     bodies = own.select("line", "body").distinct()
-    rest = spool(tokens_of(docs, own, depth).where(F.size("tokens") >= least).withColumn("node", F.col("leaf")).repartition("line"), "tokens")
+    rest = spool(tokens_of(docs, own, depth).where(F.size("tokens") >= least).withColumn("node", F.col("leaf")), "tokens")
     found = none
     while not rest.isEmpty():
-        n = rest.select("node", F.posexplode("tokens").alias("p", "w")).groupBy("node", "p", "w").agg(F.count("*").alias("n"))
+        n = rest.repartition("line").select("node", F.posexplode("tokens").alias("p", "w")).groupBy("node", "p", "w").agg(F.count("*").alias("n"))
         main = n.groupBy("node", "p").agg(F.min(F.struct(-F.col("n"), "w"))["w"].alias("w"))
         main = main.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "w"))), lambda x: x["w"]).alias("main"))
         same = F.size(F.filter(F.zip_with("tokens", "main", lambda a, b: a == b), lambda x: x))
@@ -91,13 +91,13 @@ def templates(docs: DataFrame, lines: DataFrame, by: DataFrame, depth: int = DEP
         near = near.join(several(near).join(held(near.join(bodies, "line")), "node", "left_semi"), "node", "left_semi")
         made = spool(rest.join(near, ["node", "line"], "left_semi").select("leaf", "line", F.xxhash64("node", F.lit(1)).alias("template")), "made")
         found = found.unionAll(made)
-        left = spool(rest.join(near, ["node", "line"], "left_anti").repartition("line"), "left")
-        n = left.select("node", F.posexplode("tokens").alias("p", "w")).groupBy("node", "p").agg(F.count_distinct("w").alias("n")).where("n > 1")
+        left = spool(rest.join(near, ["node", "line"], "left_anti"), "left")
+        n = left.repartition("line").select("node", F.posexplode("tokens").alias("p", "w")).groupBy("node", "p").agg(F.count_distinct("w").alias("n")).where("n > 1")
         cut = n.groupBy("node").agg(F.min(F.struct("n", "p"))["p"].alias("p"))
         left = left.join(cut, "node").withColumn("node", F.xxhash64("node", "p", F.element_at("tokens", F.col("p") + 1))).drop("p")
         left = spool(left, "down")
         going = several(left).join(held(left.join(bodies, "line").select("node", "body")), "node", "left_semi")
-        rest = spool(left.join(going, "node", "left_semi").repartition("line"), "rest")
+        rest = spool(left.join(going, "node", "left_semi"), "rest")
     return found
 
 
