@@ -1,7 +1,7 @@
 """Documents alike in their word shingles, on the keys of operator 8: the near-duplicate stage of the pipeline.
 
-Candidates: texts whose SimHash of word counts differs in at most 3 bits (Golay keys of simhash.py) or that share a band of minhashes of their
-shingle sets and have near sketches. Links: candidates whose shingle sets have the similarity asked for. Groups: what links connect.
+Candidates: texts whose SimHash of distinct words differs in at most 3 bits (Golay keys of simhash.py) or that share a band of minhashes of their
+shingle sets, and whose sketches are near. Links: candidates whose shingle sets have the similarity asked for. Groups: what links connect.
 
 Large groups of near copies must not become all their pairs, and no link may be lost. So groups are contracted in rounds: first each text is held
 against two others of its keys; then only keys whose texts are still in different groups are looked at, where each pair of groups tries its
@@ -49,7 +49,10 @@ class Texts:
         there = pc.not_equal(words, "")
         parent, words = parent.filter(there).to_numpy().astype(np.int64), words.filter(there).dictionary_encode()
         own = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
-        self.h = own[words.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64)
+        at = words.indices.to_numpy().astype(np.int64)
+        self.h = own[at] if len(own) else np.zeros(0, np.uint64)
+        each = np.unique(parent * max(1, len(own)) + at)  # the distinct words of each text
+        self.own, self.own_n = own[each % max(1, len(own))] if len(own) else np.zeros(0, np.uint64), np.bincount(each // max(1, len(own)), minlength=len(texts))
         self.n = np.bincount(parent, minlength=len(texts))
         self.ends = np.cumsum(self.n)
 
@@ -67,17 +70,16 @@ class Texts:
         return _mixed(x), number
 
     def print_of_words(self) -> np.ndarray:
-        """SimHash of the words, repeats included. No word: 0."""
-        x = self.h ^ self.h >> np.uint64(29)
-        sums = np.zeros((len(self.n), 64), np.int64)
+        """SimHash of the distinct words, each once, so that no frequent word makes all bits. No word: 0."""
+        x, n, ends = self.own ^ self.own >> np.uint64(29), self.own_n, np.cumsum(self.own_n)
+        sums = np.zeros((len(n), 64), np.int64)
         for a in range(0, len(x), 1 << 16):
             part = x[a : a + (1 << 16)]
             bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            rows = np.arange(*np.searchsorted(self.ends, (a, a + len(part) - 1), side="right") + np.array((0, 1)))
-            rows = rows[self.n[rows] > 0]
-            starts = np.maximum(self.ends[rows] - self.n[rows] - a, 0)
-            sums[rows] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        return np.ascontiguousarray(np.packbits(sums * 2 > self.n[:, None], axis=1, bitorder="little")).view(np.int64).ravel()
+            rows = np.arange(*np.searchsorted(ends, (a, a + len(part) - 1), side="right") + np.array((0, 1)))
+            rows = rows[n[rows] > 0]
+            sums[rows] += np.add.reduceat(bits, np.maximum(ends[rows] - n[rows] - a, 0), axis=0, dtype=np.int64)
+        return np.ascontiguousarray(np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little")).view(np.int64).ravel()
 
 
 @cache
@@ -108,7 +110,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def _dealt(node: DataFrame, asks: bool) -> DataFrame:
-    """(key, kind, body, sign, root): the keys of each text; sign is what two texts of a key compare. asks: with the Golay code's questions."""
+    """(key, kind, body, fp, sketch, root): the keys of each text. asks: with the Golay code's questions."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 2048):
@@ -116,25 +118,26 @@ def _dealt(node: DataFrame, asks: bool) -> DataFrame:
                 body, fp, sketch, root = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
                 k, r, q, s = keys(np.ascontiguousarray(fp))
                 bands = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64) | 1 << 60
-                for key, rows, kind, sign in ((k, r, INDEX, fp), (q, s, ASKS, fp), (bands, np.repeat(np.arange(len(b)), BANDS), OF_BAND, sketch)):
+                for key, rows, kind in ((k, r, INDEX), (q, s, ASKS), (bands, np.repeat(np.arange(len(b)), BANDS), OF_BAND)):
                     if asks or kind != ASKS:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), kind, np.int8)), pa.array(body[rows]), pa.array(sign[rows]), pa.array(root[rows])], names=["key", "kind", "body", "sign", "root"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), kind, np.int8)), *[pa.array(x[rows]) for x in (body, fp, sketch, root)]], names=["key", "kind", "body", "fp", "sketch", "root"])
 
-    return node.select("body", "fp", "sketch", "bands", "root").mapInArrow(run, "key long, kind byte, body long, sign long, root long")
+    return node.select("body", "fp", "sketch", "bands", "root").mapInArrow(run, "key long, kind byte, body long, fp long, sketch long, root long")
 
 
-def _far(kind, one, other):
-    """Differing bits of two signs, null if they are too far."""
-    bits = F.bit_count(one.bitwiseXOR(other))
-    return F.when(bits <= F.when(kind == OF_BAND, SKETCH_BITS).otherwise(BITS), bits)
+def _far(kind, fp, other_fp, sketch, other_sketch):
+    """Differing bits of two sketches, null if they or the fingerprints of a Golay key are too far."""
+    bits = F.bit_count(sketch.bitwiseXOR(other_sketch))
+    return F.when((bits <= SKETCH_BITS) & ((kind == OF_BAND) | (F.bit_count(fp.bitwiseXOR(other_fp)) <= BITS)), bits)
 
 
 def _first_edges(node: DataFrame) -> DataFrame:
     """(a, b): each text with the nearest and with the smallest of the ends (smallest and greatest body) of its keys."""
     dealt = _dealt(node, False)
-    ends = dealt.groupBy("key").agg(F.min(F.struct("body", "sign")).alias("low"), F.max(F.struct("body", "sign")).alias("high")).where("low.body <> high.body")
-    x = dealt.join(ends, "key").select("kind", "body", "sign", F.explode(F.array("low", "high")).alias("o"))
-    x = x.where("body <> o.body").select(F.col("body").alias("a"), F.col("o.body").alias("b"), _far(F.col("kind"), F.col("sign"), F.col("o.sign")).alias("far")).where("far is not null")
+    ends = dealt.groupBy("key").agg(F.min(F.struct("body", "fp", "sketch")).alias("low"), F.max(F.struct("body", "fp", "sketch")).alias("high")).where("low.body <> high.body")
+    x = dealt.join(ends, "key").select("kind", "body", "fp", "sketch", F.explode(F.array("low", "high")).alias("o"))
+    far = _far(F.col("kind"), F.col("fp"), F.col("o.fp"), F.col("sketch"), F.col("o.sketch"))
+    x = x.where("body <> o.body").select(F.col("body").alias("a"), F.col("o.body").alias("b"), far.alias("far")).where("far is not null")
     x = x.groupBy("a").agg(F.min("b").alias("low"), F.min(F.struct("far", "b"))["b"].alias("near"))
     return x.select(F.explode(F.array("low", "near")).alias("b"), "a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -154,8 +157,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
     """
     count = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = count.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
-    left = rows.join(main, "key").where("root <> main").select("key", *[F.col(c).alias(f"l_{c}") for c in ("kind", "body", "sign", "root")])
-    far = _far(F.col("kind"), F.col("sign"), F.col("l_sign"))
+    left = rows.join(main, "key").where("root <> main").select("key", *[F.col(c).alias(f"l_{c}") for c in ("kind", "body", "fp", "sketch", "root")])
+    far = _far(F.col("kind"), F.col("fp"), F.col("l_fp"), F.col("sketch"), F.col("l_sketch"))
     x = left.join(rows, "key").where(F.col("root") != F.col("l_root"))
     x = x.where((F.col("kind") + F.col("l_kind")).isin(INDEX + ASKS, 2 * OF_BAND)).withColumn("far", far).where("far is not null")
     own = F.struct(F.col("root").alias("root"), F.col("body").alias("body"))

@@ -103,7 +103,7 @@ def test_sets_and_prints():
     import xxhash
 
     for text, p in zip(texts, prints.tolist()):
-        w = (text or "").split()
+        w = set((text or "").split())
         h = [xxhash.xxh64_intdigest(x, 42) for x in w]
         h = [x ^ x >> 29 for x in h]
         assert p & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
