@@ -127,8 +127,8 @@ def tokenizer(raw: bytes):
     return _made[key]
 
 
-#: What units are parted by on the way; texts that have it are parted one by one. Units in a run that is encoded at once.
-SEP, RUN = "\x1f", 64
+#: What units are parted by on the way; texts that have it are parted one by one. Units in a run, and runs that the libraries take at once.
+SEP, RUN, RUNS = "\x1f", 64, 512
 
 
 class Coder:
@@ -160,22 +160,20 @@ class Coder:
         """(ids, number by unit, whether it decodes to itself, whether sentencepiece has the same ids) of distinct units."""
         runs = np.append(np.arange(0, len(units), RUN, dtype=np.int32), np.int32(len(units)))
         own = pc.if_else(pc.equal(units, "\n"), "", units)
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(runs), own), "\n").to_pylist()
-        found = [e.ids for e in self.plain.encode_batch([t.replace(" ", MARK) for t in texts], add_special_tokens=False)]
-        back = self.plain.decode_batch(found, skip_special_tokens=False)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(runs), own), "\n")
+        ids, ok, same = [], np.ones(len(units), bool), np.ones(len(units), bool)
         front = "\n" if self.head else ""
-        judged = self.judge.encode([front + t for t in texts], num_threads=1)
-        good = [b == t and j[self.head :] == x and x.count(self.end) == n - 1 for t, x, b, j, n in zip(texts, found, back, judged, np.diff(runs).tolist(), strict=True)]
-        ok = same = np.ones(len(units), bool)
-        if not all(good):
-            ok, same = ok.copy(), same.copy()
-            for r in [r for r, g in enumerate(good) if not g]:
-                one = own.slice(r * RUN, RUN).to_pylist()
-                ids = [e.ids for e in self.plain.encode_batch([t.replace(" ", MARK) for t in one], add_special_tokens=False)]
-                ok[r * RUN : (r + 1) * RUN] = [b == t for b, t in zip(self.plain.decode_batch(ids, skip_special_tokens=False), one, strict=True)]
-                same[r * RUN : (r + 1) * RUN] = [j[self.head :] == x and self.end not in x for j, x in zip(self.judge.encode([front + t for t in one], num_threads=1), ids, strict=True)]
-                found[r] = [i for x in ids for i in (*(y for y in x if y != self.end), self.end)][:-1]
-        ids = np.concatenate([np.array([*x, self.end], np.int32) for x in found]) if found else np.zeros(0, np.int32)
+        for a in range(0, len(texts), RUNS):  # the libraries' results are large
+            part = texts.slice(a, RUNS).to_pylist()
+            found = [e.ids for e in self.plain.encode_batch([t.replace(" ", MARK) for t in part], add_special_tokens=False)]
+            back = self.plain.decode_batch(found, skip_special_tokens=False)
+            judged = self.judge.encode([front + t for t in part], num_threads=1)
+            for r, (t, x, b, j) in enumerate(zip(part, found, back, judged, strict=True)):
+                if not (b == t and j[self.head :] == x and x.count(self.end) == runs[a + r + 1] - runs[a + r] - 1):
+                    at = slice(int(runs[a + r]), int(runs[a + r + 1]))
+                    x, ok[at], same[at] = self.one_by_one(own[at].to_pylist(), front)
+                ids.append(np.array([*x, self.end], np.int32))
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         ends = np.flatnonzero(ids == self.end)
         size = np.diff(ends, prepend=-1) - 1
         line = pc.index(units, "\n").as_py()
@@ -187,6 +185,13 @@ class Coder:
             return ids[keep], size, ok, same
         return ids[ids != self.end], size, ok, same
 
+    def one_by_one(self, units: list[str], front: str) -> tuple[list[int], list[bool], list[bool]]:
+        """A run whose units are encoded, decoded and compared each on its own: (ids parted by line ends, which decode, which agree)."""
+        found = [e.ids for e in self.plain.encode_batch([u.replace(" ", MARK) for u in units], add_special_tokens=False)]
+        ok = [b == u for b, u in zip(self.plain.decode_batch(found, skip_special_tokens=False), units, strict=True)]
+        same = [j[self.head :] == x and self.end not in x for j, x in zip(self.judge.encode([front + u for u in units], num_threads=1), found, strict=True)]
+        return [i for x in found for i in (*(y for y in x if y != self.end), self.end)][:-1], ok, same
+
     def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(units of all texts one after the other, number by text), by the library of Arrow where no text needs more."""
         front = " " if self.model.dummy_prefix else ""
@@ -218,9 +223,11 @@ class Coder:
         flat, n = self.units(pc.if_else(pa.array(whole), "", texts))
         flat = flat.dictionary_encode()
         known, size, decodes, agrees = self.learn(flat.dictionary)
-        slot, row = flat.indices.to_numpy(), np.repeat(np.arange(len(n)), n)
-        starts, number = np.cumsum(size) - size, size[slot]
-        ids = known[np.repeat(starts[slot] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))]
+        slot, row = flat.indices.to_numpy(), np.repeat(np.arange(len(n), dtype=np.int32), n)
+        starts, number = np.cumsum(size, dtype=np.int32) - size.astype(np.int32), size.astype(np.int32)[slot]
+        at = np.repeat(starts[slot] - (np.cumsum(number, dtype=np.int32) - number), number)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = known[at]
         number = np.bincount(row, number, len(n)).astype(np.int64)
         every = lambda good: np.bincount(row, ~good[slot], len(n)) == 0
         ok, same = (np.ones(len(n), bool), np.ones(len(n), bool)) if decodes.all() and agrees.all() else (every(decodes), every(agrees))
