@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ SIMILARITY, SKETCH_BITS = 0.8, 20
 BANDS, BAND = 24, 5
 #: Keys that are broadcast at most.
 SMALL = 200_000
-#: What a dealt key is: an index entry or a question of the Golay code, or a band.
+#: What a dealt key is: an index entry or a question of the Golay code, or the first of the bands.
 INDEX, ASKS, OF_BAND = 0, 1, 2
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -118,9 +119,10 @@ def _dealt(node: DataFrame, asks: bool) -> DataFrame:
                 body, fp, sketch, root = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
                 k, r, q, s = keys(np.ascontiguousarray(fp))
                 bands = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64) | 1 << 60
-                for key, rows, kind in ((k, r, INDEX), (q, s, ASKS), (bands, np.repeat(np.arange(len(b)), BANDS), OF_BAND)):
-                    if asks or kind != ASKS:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), kind, np.int8)), *[pa.array(x[rows]) for x in (body, fp, sketch, root)]], names=["key", "kind", "body", "fp", "sketch", "root"])
+                every = np.repeat(np.arange(len(b)), BANDS)
+                for key, rows, kind in ((k, r, np.full(len(k), INDEX)), (q, s, np.full(len(q), ASKS)), (bands, every, np.tile(np.arange(OF_BAND, OF_BAND + BANDS), len(b)))):
+                    if asks or key is not q:
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind.astype(np.int8)), *[pa.array(x[rows]) for x in (body, fp, sketch, root)]], names=["key", "kind", "body", "fp", "sketch", "root"])
 
     return node.select("body", "fp", "sketch", "bands", "root").mapInArrow(run, "key long, kind byte, body long, fp long, sketch long, root long")
 
@@ -128,7 +130,7 @@ def _dealt(node: DataFrame, asks: bool) -> DataFrame:
 def _far(kind, fp, other_fp, sketch, other_sketch):
     """Differing bits of two sketches, null if they or the fingerprints of a Golay key are too far."""
     bits = F.bit_count(sketch.bitwiseXOR(other_sketch))
-    return F.when((bits <= SKETCH_BITS) & ((kind == OF_BAND) | (F.bit_count(fp.bitwiseXOR(other_fp)) <= BITS)), bits)
+    return F.when((bits <= SKETCH_BITS) & ((kind >= OF_BAND) | (F.bit_count(fp.bitwiseXOR(other_fp)) <= BITS)), bits)
 
 
 def _first_edges(node: DataFrame) -> DataFrame:
@@ -150,21 +152,24 @@ def _mixed_keys(node: DataFrame) -> DataFrame:
     return spool(dealt.join(mixed, "key", "left_semi"), "mixed")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """(a, b, low, high, far): candidates of different groups (low < high are their roots), from dealt rows.
+def _candidates(rows: DataFrame, node: DataFrame) -> DataFrame:
+    """(a, b, low, high, far): candidates of different groups (low < high are their roots), from dealt rows; node has body, root and marks (a number of each band).
 
     Of two groups one is not the key's greatest: only such rows are joined to all of the key, so a giant group is not paired with itself.
+    A pair comes from the first band it shares, from Golay keys only if it shares none.
     """
+    rows = rows.drop("root").join(node.select("body", "root", "marks"), "body")
     count = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = count.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
-    left = rows.join(main, "key").where("root <> main").select("key", *[F.col(c).alias(f"l_{c}") for c in ("kind", "body", "fp", "sketch", "root")])
+    left = rows.join(main, "key").where("root <> main").select("key", *[F.col(c).alias(f"l_{c}") for c in ("kind", "body", "fp", "sketch", "root", "marks")])
     far = _far(F.col("kind"), F.col("fp"), F.col("l_fp"), F.col("sketch"), F.col("l_sketch"))
-    x = left.join(rows, "key").where(F.col("root") != F.col("l_root"))
-    x = x.where((F.col("kind") + F.col("l_kind")).isin(INDEX + ASKS, 2 * OF_BAND)).withColumn("far", far).where("far is not null")
+    first = F.array_position(F.zip_with("marks", "l_marks", lambda x, y: x == y), True)
+    x = left.join(rows, "key").where(F.col("root") != F.col("l_root")).where((F.col("kind") == F.col("l_kind")) & (F.col("kind") >= OF_BAND) | (F.col("kind") + F.col("l_kind") == INDEX + ASKS))
+    x = x.where(far.isNotNull()).where(F.when(F.col("kind") >= OF_BAND, first == F.col("kind") - OF_BAND + 1).otherwise(first == 0)).withColumn("far", far)
     own = F.struct(F.col("root").alias("root"), F.col("body").alias("body"))
     other = F.struct(F.col("l_root").alias("root"), F.col("l_body").alias("body"))
     x = x.select(F.least(own, other).alias("one"), F.greatest(own, other).alias("two"), "far")
-    return x.select(F.col("one.body").alias("a"), F.col("two.body").alias("b"), F.col("one.root").alias("low"), F.col("two.root").alias("high"), "far")
+    return x.select(F.col("one.body").alias("a"), F.col("two.body").alias("b"), F.col("one.root").alias("low"), F.col("two.root").alias("high"), "far").distinct()
 
 
 def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,21 +228,25 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
     def between(links: DataFrame, pairs: DataFrame) -> DataFrame:
         return links.join(pairs, ["a", "b"]).select(F.col("low").alias("a"), F.col("high").alias("b"))
 
+    @F.pandas_udf("array<int>")
+    def marks(bands: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(b, np.int64).astype(np.int32) for b in bands])
+
     # first round: a few edges a text
     pairs = spool(_first_edges(node), "first")
     node = spool(contracted(node, verified(pairs)), "groups")
     # second round: each pair of groups tries its nearest candidates
-    mixed = _mixed_keys(node)
-    nearest = spool(_candidates(mixed).groupBy("low", "high").agg(F.min(F.struct("far", "a", "b")).alias("n")).select("n.a", "n.b", "low", "high"), "nearest")
-    tried = pairs.unionAll(nearest.select("a", "b"))
-    if not nearest.isEmpty():
-        node2 = spool(contracted(node, between(verified(nearest.select("a", "b")), nearest)), "groups")
+    every = spool(_candidates(_mixed_keys(node), node.withColumn("marks", marks(F.col("bands")))), "candidates")
+    if not every.isEmpty():
+        nearest = spool(every.groupBy("low", "high").agg(F.min(F.struct("far", "a", "b")).alias("n")).select("n.a", "n.b", "low", "high"), "nearest")
+        node = spool(contracted(node, between(verified(nearest.select("a", "b")), nearest)), "groups")
         # last round: every other candidate between groups
-        mixed = mixed.drop("root").join(node2.select("body", "root"), "body")
-        rest = _candidates(mixed).groupBy("a", "b").agg(F.first("low").alias("low"), F.first("high").alias("high"))
-        seen_pair = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        root = lambda c, name: node.select(F.col("body").alias(c), F.col("root").alias(name))
+        rest = every.select("a", "b").join(root("a", "low"), "a").join(root("b", "high"), "b").where("low <> high").join(nearest.select("a", "b"), ["a", "b"], "left_anti")
+        seen_pair = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
         rest = spool(rest.join(seen_pair, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"), "rest")
-        node = node2 if rest.isEmpty() else spool(contracted(node2, between(verified(rest.select("a", "b")), rest)), "groups")
+        if not rest.isEmpty():
+            node = spool(contracted(node, between(verified(rest.select("a", "b")), rest)), "groups")
     own = seen.select("doc_id", "body").join(node.select("body", "root"), "body")
     first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body")).alias("m")).select("root", F.col("m.doc_id").alias("component_id"), F.col("m.body").alias("kept_body"))
     return own.join(first, "root").select("doc_id", "body", "component_id", "kept_body")
