@@ -157,15 +157,57 @@ def test_open_tags_end_with_their_gap(spark):
     assert texts == [f"T\n\nText {i}" for i in range(6)]
 
 
+def plain_pages(n, seed=3):
+    """(html, text) of pages of one template without any name that tells: div, p, h1 only."""
+    rng = np.random.default_rng(seed)
+    words = lambda k: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(k))
+    out = []
+    for _ in range(n):
+        parts = [words(rng.integers(10, 60)) for _ in range(rng.integers(1, 7))]
+        title, more = words(5), "".join(f'<div><a href="/x">{words(4)}</a></div>' for _ in range(rng.integers(2, 6)))
+        out.append((
+            f'<html><body><div><a href="/">Home</a> <a href="/n">News</a></div><div><div>{words(8)}</div><div>Write to us</div></div><div><h1>{title}</h1><div>{"".join("<p>" + p for p in parts)}</div>'
+            f"<div>Share this with friends</div></div><div>{more}</div><div>Copyright of the site</div></body></html>",
+            "\n\n".join([title, *parts]),
+        ))
+    return out
+
+
+def test_pages_without_names():
+    """The template alone finds the text, and without it the text would not be found."""
+    pages = plain_pages(40)
+    got = htmltext.texts([h for h, _ in pages])
+    assert got == [t for _, t in pages]
+    one = [htmltext.texts([h])[0] for h, _ in pages]
+    assert all(a != b and t in a.replace("Write to us", "") for a, b, (_, t) in zip(one, got, pages))
+
+
+def test_template_decides(monkeypatch):
+    pages = plain_pages(12)
+    monkeypatch.setattr(htmltext, "labels", lambda pages: [[("", "")] * len(p.parent) for p in pages])
+    assert all(a != t for a, (_, t) in zip(htmltext.texts([h for h, _ in pages]), pages))
+
+
 def test_copied_pages_keep_their_text():
-    """Copies of a page without an article count once, and no page loses all its blocks; what most pages say still goes."""
+    """Copies of a page without an article count once, and no page loses all its blocks."""
     page = lambda *blocks: "<html><body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body></html>"
     story = ["The story of the town.", "Its second part is longer."]
     pages = [page(*story)] * 8 + [page(f"Own words {k} of this page.", "More stories on the front page.") for k in "abcde"]
     got = htmltext.texts(pages)
     assert got[:8] == ["\n\n".join(story)] * 8
-    assert got[8:] == [f"Own words {k} of this page." for k in "abcde"]
-    assert all(htmltext.texts([page(*story)] * 8))
+    assert all(t.startswith(f"Own words {k} of this page.") for k, t in zip("abcde", got[8:]))
+    for n in (1, 2, 5, 50):
+        assert htmltext.texts([page(*story)] * n) == ["\n\n".join(story)] * n
+    assert htmltext.texts(['<div class="post-form"><p>Text</p></div>']) == ["Text"]
+
+
+def test_deep_and_broken_markup():
+    deep = "<div>" * 300 + "<article><p>In the deep</p>" + "<section>" * 40 + "x" + "</article>" + "</div>" * 300 + "<footer>f</footer>"
+    assert htmltext.texts([deep]) == ["In the deep\n\nx"]
+    assert htmltext.texts(["</div></p><div><p>a<div>b</span></body></div>", "<", "<div", "&lt;p&gt; &#x110000; &nbsp;"])[0] == "a\n\nb"
+    assert htmltext.texts(["<main></main><p>outside</p>", None, ""]) == ["", "", ""]
+    long = "<p>" + "word " * 200_000 + "</p>"
+    assert len(htmltext.texts([long] * 2)[1]) == 999_999
 
 
 def test_classes_of_what_holds_the_article():
