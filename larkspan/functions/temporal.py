@@ -131,3 +131,24 @@ def cut_time(ts: Column, edges: list[str], zone: str = "UTC") -> Column:
 def from_day_number(c: Column) -> Column:
     """Days since year 0 with a fraction to a timestamp."""
     return F.timestamp_micros(F.round((c - 719_529) * 86_400_000_000).cast("long"))
+
+
+def date_range(spark, start: str, end: str, step: int = 1, closed: str = "both", name: str = "date") -> DataFrame:
+    """Days from start to end, each `step` days; closed: both, left (without the end) or right (without the start)."""
+    out = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.make_interval(days=F.lit(step)))).alias(name))
+    if closed == "left":
+        out = out.where(F.col(name) != F.to_date(F.lit(end)))
+    return out.where(F.col(name) != F.to_date(F.lit(start))) if closed == "right" else out
+
+
+def cut_steps(ts: Column, step: str, start: str | None = None, stop: str | None = None, label: bool = False, zone: str = "UTC") -> Column:
+    """Steps of a rule (30T) from start to stop (HH:MM): numbers from 0, -1 before start, one more than the last from stop on; or labels pre, HH:MM, post."""
+    seconds = lambda t, other: other if t is None else (int(t.split(":")[0]) * 60 + int(t.split(":")[1])) * 60
+    a, b, n = seconds(start, 0), seconds(stop, 86_400), rule_nanos(step) // UNITS["second"]
+    at = F.floor(since_midnight(ts, zone) / UNITS["second"])
+    number = F.when(at < a, -1).when(at >= b, -(-(b - a) // n)).otherwise(F.floor((at - a) / n)).cast("int")
+    if not label:
+        return number
+    begins = F.lit(a) + number * n
+    clock = F.concat(F.lpad(F.floor(begins / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(begins / 60) % 60).cast("string"), 2, "0"))
+    return F.when(at < a, "pre").when(at >= b, "post").otherwise(clock)

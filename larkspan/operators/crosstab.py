@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.functions.math import beside_groups
+
 #: Columns of a cross-table at most: their labels are read by the driver.
 WIDEST = 10_000
 TOTAL = "Total"
@@ -141,7 +143,7 @@ def cut_groups(df: DataFrame, column: str, keys, q: int, name: str = "bin") -> D
     edges = df.groupBy(*keys).agg(F.percentile(column, F.array(*[F.lit(i / q) for i in range(q + 1)])).alias("_e"))
     c = F.col(column)
     code = F.size(F.filter("_e", lambda e: e < c))
-    return df.join(edges, keys).withColumn(name, F.greatest(code, F.lit(1)) + 1).drop("_e")
+    return beside_groups(df, edges, keys).withColumn(name, F.greatest(code, F.lit(1)) + 1).drop("_e")
 
 
 def rare(df: DataFrame, column: str, least: int, misc="misc", name: str | None = None) -> DataFrame:

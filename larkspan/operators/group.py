@@ -7,12 +7,15 @@ with them; a filter of an operation keeps every group.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspan.functions import aggregates as A
+from larkspan.operators.select import free
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -85,11 +88,13 @@ class Group:
     def edge(self, last: bool = False) -> DataFrame:
         """The first or last whole row of each group."""
         w = Window.partitionBy(*self.keys).orderBy(*[F.desc(c) if last else c for c in self.order])
-        return self.df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        n = free(self.df, "_n")
+        return self.df.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
     def head(self, n: int, last: bool = False) -> DataFrame:
         w = Window.partitionBy(*self.keys).orderBy(*[F.desc(c) if last else c for c in self.order])
-        return self.df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+        at = free(self.df, "_n")
+        return self.df.withColumn(at, F.row_number().over(w)).where(F.col(at) <= n).drop(at)
 
     def ohlc(self, c: str) -> DataFrame:
         o = F.struct(*self.order)
@@ -103,6 +108,26 @@ class Group:
         out = self.df.rollup(*self.keys).agg(*[A.NAMED[n](c).alias(c) for c, n in how.items()], F.grouping_id().alias("_g"))
         return out.where(F.col("_g").isin(0, (1 << len(self.keys)) - 1)).withColumn("is_total", F.col("_g") > 0).drop("_g")
 
+    # access
+
+    def get_group(self, *values) -> DataFrame:
+        """The rows of one group; None is the group of missing keys."""
+        return self.df.where(reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(self.keys, values, strict=True)]))
+
+    def as_filter(self, *values) -> Column:
+        """Whether a row is in one of the groups of the first key."""
+        return F.coalesce(F.col(self.keys[0]).isin(*values), F.lit(False))
+
+    def iter_groups(self):
+        """(keys, rows) of each group in the order of the keys; the keys come to the driver one after the other, rows stay where they are."""
+        for row in self.keys_only().orderBy(*self.keys).toLocalIterator():
+            yield tuple(row), self.get_group(*row)
+
+    def edge_mask(self, name: str, last: bool = False) -> DataFrame:
+        """All rows and whether each is its group's first (last) one."""
+        w = Window.partitionBy(*self.keys).orderBy(*[F.desc(c) if last else c for c in self.order])
+        return self.df.withColumn(name, F.row_number().over(w) == 1)
+
     # row-preserving
 
     @property
@@ -180,4 +205,13 @@ def duplicated(df: DataFrame, keys, order, keep: str | bool = "first", name: str
 
 
 def drop_duplicates(df: DataFrame, keys, order, keep: str | bool = "first") -> DataFrame:
-    return duplicated(df, keys, order, keep, "_dup").where(~F.col("_dup")).drop("_dup")
+    name = free(df, "_dup")
+    return duplicated(df, keys, order, keep, name).where(~F.col(name)).drop(name)
+
+
+def bincount(df: DataFrame, column: str, bins: int, weight: str | None = None) -> DataFrame:
+    """(bin, count) for the bins 0 to bins - 1, empty ones included; values outside and missing ones count nowhere."""
+    c = F.col(column)
+    found = df.where((c >= 0) & (c < bins)).groupBy(c.cast("long").alias("at")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return every.join(found, F.col("bin") == F.col("at"), "left").select("bin", F.coalesce("n", F.lit(0)).alias("count"))

@@ -61,21 +61,33 @@ def tail(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*[F.col(o).desc_nulls_first() for o in order]).limit(n)
 
 
-def is_sorted(df: DataFrame, column: str, order) -> DataFrame:
-    """One row: whether column ascends in order. Every row meets its predecessor; nothing is collected."""
-    w = Window.orderBy(order)
-    return df.select((F.col(column) >= F.lag(column).over(w)).alias("up")).agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("sorted"))
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def is_sorted(df: DataFrame, column: str, order, ranges: int = 64) -> DataFrame:
+    """One row: whether column ascends in order. Rows are dealt to ranges of order and compared inside; then each range's first value with the last one before."""
+    x = df.select(F.col(column).alias("v"), F.col(order).alias("o")).repartitionByRange(ranges, "o").withColumn("part", F.spark_partition_id())
+    w = Window.partitionBy("part").orderBy("o")
+    x = x.select("part", "o", "v", (F.col("v") >= F.lag("v").over(w)).alias("up"))
+    x = x.groupBy("part").agg(F.bool_and("up").alias("up"), F.min("o").alias("o"), F.min_by("v", "o").alias("low"), F.max_by("v", "o").alias("high"))
+    edge = F.col("low") >= F.lag("high").over(Window.orderBy("o"))  # a row a range
+    return x.select("up", edge.alias("edge")).agg((F.coalesce(F.bool_and("up"), F.lit(True)) & F.coalesce(F.bool_and("edge"), F.lit(True))).alias("sorted"))
 
 
 def sample(df: DataFrame, n: int, seed: int = 0, where: Column | None = None) -> DataFrame:
     """Exactly n random rows (all, if fewer)."""
     df = df if where is None else df.where(where)
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+    r = free(df, "_r")
+    return df.withColumn(r, F.rand(seed)).orderBy(r).limit(n).drop(r)
 
 
 def hashed_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows chosen by a hash of a key: the same rows however the table is stored."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def trim(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -173,14 +185,16 @@ def reduce_array(v: Column, how: str) -> Column:
 
 
 def arithmetic(left: DataFrame, right, how: str, key: str | None = None) -> DataFrame:
-    """Numeric columns of left with those of the same name of right (joined on key), or with one value: add, sub, mul, div, mod."""
+    """Numeric columns of left with those of the same name of right (joined on key, which must not repeat there: an error), or with one value: add, sub, mul, div, mod."""
     op = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: F.try_divide(a.cast("double"), b), "mod": lambda a, b: F.when(b != 0, a % F.when(b != 0, b))}[how]
     if not isinstance(right, DataFrame):
         return left.withColumns({c: op(F.col(c), F.lit(right)) for c in numeric(left) if c != key})
     shared = [c for c in numeric(left) if c in right.columns and c != key]
-    r = right.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in shared])
-    x = left.join(r, F.col(key) == F.col("_k"), "left")
-    return x.select(*[op(F.col(c), F.col(f"_{c}")).alias(c) if c in shared else F.col(c) for c in left.columns])
+    at = {c: free(left, f"_{c}") for c in (key, *shared)}
+    one = lambda c: F.when(F.count(F.lit(1)) == 1, F.first(c)).otherwise(F.raise_error(F.lit(f"a {key} of the right table is there more than once")))
+    r = right.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(at[key])).agg(*[one(c).alias(at[c]) for c in shared])
+    x = left.join(r, F.col(key) == F.col(at[key]), "left")
+    return x.select(*[op(F.col(c), F.col(at[c])).alias(c) if c in shared else F.col(c) for c in left.columns])
 
 
 def equals(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -228,3 +242,22 @@ def horizontal(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
 def cascade(tables: dict[str, DataFrame], f: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
     return {k: f(v) for k, v in tables.items()}
+
+
+def unflatten(df: DataFrame, sep: str = "/") -> DataFrame:
+    """Columns named outer/inner as struct columns again."""
+    outer: dict[str, list[str]] = {}
+    for c in df.columns:
+        outer.setdefault(c.split(sep)[0], []).append(c)
+    return df.select(*[F.struct(*[F.col(f"`{c}`").alias(c.split(sep, 1)[1]) for c in cs]).alias(o) if cs != [o] else F.col(f"`{o}`") for o, cs in outer.items()])
+
+
+def filled_like(df: DataFrame, value, columns: Iterable[str] | None = None) -> DataFrame:
+    """As many rows, each column holding one value of its own type."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.lit(value).cast(kinds[c]).alias(c) for c in columns or df.columns])
+
+
+def label_filter(df: DataFrame, labels: Iterable, column: str) -> DataFrame:
+    """Rows whose label is one of the labels."""
+    return df.where(F.col(column).isin(list(labels)))

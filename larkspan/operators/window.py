@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from larkspan.functions.aggregates import midpoint
+from larkspan.operators.select import free
 
 
 def _list(x) -> list:
@@ -162,3 +163,13 @@ def half_life(seconds: float) -> float:
 
 
 __all__: Iterable[str] = ["cumulate", "diff", "differs", "ema", "fill", "find_nth", "half_life", "prefix_sum", "rolling", "rolling_arg", "rolling_quantile", "shift", "time_window"]
+
+
+def rolling_rank(df: DataFrame, column: str, keys, order, window: int, name: str = "rolling_rank") -> DataFrame:
+    """Rank of each value in its frame, scaled from -1 (least) to 1 (greatest), ties by their mean; missing for missing values and frames of one value."""
+    w = _over(keys, order).rowsBetween(1 - window, 0)
+    held = free(df, "_held")
+    c, h = F.col(column), F.col(held)
+    below, same, n = F.size(F.filter(h, lambda x: x < c)), F.size(F.filter(h, lambda x: x == c)), F.size(h)
+    out = (below + (same - 1) / 2) / F.when(n > 1, n - 1) * 2 - 1
+    return df.withColumn(held, F.collect_list(column).over(w)).withColumn(name, F.when(c.isNotNull(), out)).drop(held)

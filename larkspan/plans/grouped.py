@@ -160,7 +160,7 @@ def gb_sem(spark, sf):
     return rounded(Group(table(spark, sf, "events", "event_type", "value"), "event_type").sem(), 6)
 
 
-@query()
+@query("select event_type, event_id, value from (select event_type, event_id, value, row_number() over (partition by event_type order by value desc, event_id desc) as r from events) where r <= 3")
 def gb_apply(spark, sf):
     x = table(spark, sf, "events", "event_type", "event_id", "value")
     return Group(x, "event_type").apply(lambda p: p.nlargest(3, ["value", "event_id"]), "event_type string, event_id long, value double")

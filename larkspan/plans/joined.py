@@ -20,18 +20,18 @@ def query(sql: str | None = None):
     return add
 
 
-#: Every fifth customer key is missing, the same on both sides.
-KEY = "case when o_orderkey % 5 = 0 then null else o_custkey end"
+#: Every fifth key of orders and every third of customers is missing, the same in the SQL; so both sides have rows without a match.
+KEY, CUSTOMER = "case when o_orderkey % 5 = 0 then null else o_custkey end", "case when c_custkey % 3 = 0 then null else c_custkey end"
 
 
 def sides(spark, sf):
     o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice").select("o_orderkey", F.expr(KEY).alias("k"), "o_totalprice")
-    c = table(spark, sf, "customer", "c_custkey", "c_acctbal", "c_mktsegment").where("c_custkey % 3 <> 0").withColumnRenamed("c_custkey", "k")
+    c = table(spark, sf, "customer", "c_custkey", "c_acctbal", "c_mktsegment").withColumn("c_custkey", F.expr(CUSTOMER)).withColumnRenamed("c_custkey", "k")
     return o, c
 
 
 _O = f"(select o_orderkey, {KEY} as k, o_totalprice from orders)"
-_C = "(select c_custkey as k, c_acctbal, c_mktsegment from customer where c_custkey % 3 <> 0)"
+_C = f"(select {CUSTOMER} as k, c_acctbal, c_mktsegment from customer)"
 for _how, _join in (("inner", "join"), ("left", "left join"), ("right", "right join"), ("outer", "full join")):
     def _merge(spark, sf, how=_how):
         return joins.merge(*sides(spark, sf), "k", how, indicator="side")
@@ -62,10 +62,10 @@ def merge_first(spark, sf):
     return joins.merge_first(c, o, "c_custkey", "first_order")
 
 
-@query("select l_orderkey, l_linenumber, n as sides from (select l_orderkey, l_linenumber from lineitem where l_quantity > 45) join (select o_orderkey, o_orderstatus as n from orders where o_orderstatus = 'F') on l_orderkey = o_orderkey")
+@query("select l_orderkey, l_linenumber, o_orderstatus as sides from lineitem join orders on l_orderkey = o_orderkey")
 def merge_validated(spark, sf):
-    lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").where("l_quantity > 45").drop("l_quantity")
-    orders = table(spark, sf, "orders", "o_orderkey", "o_orderstatus").where("o_orderstatus = 'F'").toDF("l_orderkey", "sides")
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber")
+    orders = table(spark, sf, "orders", "o_orderkey", "o_orderstatus").toDF("l_orderkey", "sides")
     return joins.merge(lines, orders, "l_orderkey", "inner", validate="m:1")
 
 

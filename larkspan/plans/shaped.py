@@ -56,7 +56,7 @@ def is_sorted(spark, sf):
     return select.is_sorted(table(spark, sf, "events", "event_id", "ts"), "ts", "event_id")
 
 
-@query()
+@query("select c_custkey, c_name from (select *, row_number() over (order by md5(c_custkey || '/7'), c_custkey) as r from customer) where r <= 50")
 def sample(spark, sf):
     return select.hashed_sample(table(spark, sf, "customer", "c_custkey", "c_name"), 50, "c_custkey", 7)
 
@@ -82,10 +82,11 @@ def table_arithmetic(spark, sf):
     return rounded(select.arithmetic(select.arithmetic(x, 2, "mul", "event_id"), tens, "add", "event_id"))
 
 
-@query("select o_orderkey, true as same, true as in_both from orders")
+@query("select o_orderkey, o_orderkey % 7 <> 0 or o_orderkey % 5 = 0 as same, true as in_both from orders")
 def table_equals(spark, sf):
-    x = table(spark, sf, "orders", "o_orderkey", "o_totalprice")
-    return select.equals(x, x.withColumn("o_totalprice", F.col("o_totalprice") * 1), "o_orderkey").withColumnRenamed("o_totalprice", "same")
+    """Against a copy with every seventh value changed; missing equals missing."""
+    x = table(spark, sf, "orders", "o_orderkey", "o_totalprice").withColumn("o_totalprice", F.expr("case when o_orderkey % 5 = 0 then null else o_totalprice end"))
+    return select.equals(x, x.withColumn("o_totalprice", F.expr("o_totalprice + case when o_orderkey % 7 = 0 then 1 else 0 end")), "o_orderkey").withColumnRenamed("o_totalprice", "same")
 
 
 @query("select event_id, z, y from (select event_id, case when event_id % 2 = 0 then 0 else value end as z, value as y, 0 as dead from events) where z <> 0 or y <> 0")
