@@ -9,8 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspan.functions.aggregates import midpoint
 from larkspan.operators.select import free
@@ -121,31 +125,46 @@ def time_window(df: DataFrame, column: str, keys, time: Column | str, distance,
 
 
 def ema(df: DataFrame, column: str, keys, order: str, rate: float, how: str = "decay", time: str | None = None, keep: Column | None = None, reset: Column | None = None, name: str = "ema") -> DataFrame:
-    """Exponential averages in order, by one fold over each group's rows in the JVM; a group's (order, time, value) must fit in memory.
+    """Exponential averages in order. Rows are dealt by their keys, sorted, and go by in Arrow batches with one carried state, so no group is held in memory.
 
     decay: out = x + out * exp(-rate * dt), from 0. normal: out = x * (1 - w) + out * w with w = exp(-rate * dt), from the first x. weighted: the
     same with w = rate and no time. Missing or left-out values are 0 for decay and leave the other two unchanged. reset starts anew.
     """
-    keys = _list(keys)
-    x = df.withColumn("_x", F.col(column).cast("double") if keep is None else F.when(keep, F.col(column).cast("double")))
-    x = x.withColumn("_t", (F.col(time) if time else F.lit(0)).cast("double")).withColumn("_z", F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False))
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(F.col(order).alias("o"), F.col("_t").alias("t"), F.col("_x").alias("x"), F.col("_z").alias("z"), F.struct(*rest).alias("r"))
-    packed = x.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_g"))
-
-    def step(s: Column, r: Column) -> Column:
-        dt = r["t"] - s["t"]
-        if how == "decay":
-            value = F.when(r["z"], F.coalesce(r["x"], F.lit(0.0))).otherwise(F.coalesce(r["x"], F.lit(0.0)) + s["v"] * F.when(s["n"] == 0, 0.0).otherwise(F.exp(-F.lit(float(rate)) * dt)))
-        else:
-            w = F.lit(float(rate)) if how == "weighted" else F.exp(-F.lit(float(rate)) * dt)
-            value = F.when(r["x"].isNull(), s["v"]).when(s["v"].isNull() | r["z"], r["x"]).otherwise(r["x"] * (1 - w) + s["v"] * w)
-        return F.struct(r["t"].alias("t"), value.alias("v"), (s["n"] + 1).alias("n"), F.concat(s["out"], F.array(value)).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0 if how == "decay" else None).cast("double").alias("v"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out"))
-    done = packed.withColumn("_e", F.aggregate("_g", start, step, lambda s: s["out"]))
-    out = done.select(*keys, F.explode(F.arrays_zip(F.col("_g.r").alias("r"), F.col("_e").alias("e"))).alias("_y"))
-    return out.select(*[F.col(c) if c in keys else F.col("_y.r")[c].alias(c) for c in df.columns], F.col("_y.e").alias(name))
+    keys, rate = _list(keys), float(rate)
+    kept = [c for c in df.columns if c != name]
+    k, j, t, x, z = (free(df, f"_{c}") for c in "kjtxz")
+    # two hashes tell neighbouring keys apart
+    rows = df.select(
+        *kept, F.xxhash64(F.lit(1), *keys).alias(k), F.xxhash64(F.lit(2), *keys).alias(j), (F.col(time) if time else F.lit(0)).cast("double").alias(t),
+        (F.col(column).cast("double") if keep is None else F.when(keep, F.col(column).cast("double"))).alias(x), (F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False)).alias(z),
+    )
+    rows = (rows.repartition(k, j) if keys else rows.repartition(1)).sortWithinPartitions(k, j, order)
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != name], T.StructField(name, T.DoubleType())])
+
+    def run(batches):
+        nan, last, value = math.nan, None, None
+        before = nan
+        for b in batches:
+            one, two = b.column(k).to_numpy(), b.column(j).to_numpy()
+            new = np.ones(len(b), bool)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            if len(b):
+                new[0] = last != (one[0], two[0])
+                last = one[-1], two[-1]
+            out = []
+            for start, at, v, anew in zip(new.tolist(), *(pc.fill_null(b.column(c), nan).to_pylist() for c in (t, x)), b.column(z).to_pylist(), strict=True):
+                if start:
+                    value, before = None, nan
+                if how == "decay":
+                    value = (0.0 if v != v else v) + (0.0 if anew or value is None else value * math.exp(-rate * (at - before)))
+                elif v == v:
+                    w = rate if how == "weighted" else math.exp(-rate * (at - before)) if before == before else 0.0
+                    value = v if value is None or anew else v * (1 - w) + value * w
+                before = at
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(out, pa.float64())], names=[*kept, name])
+
+    return rows.mapInArrow(run, schema)
 
 
 def prefix_sum(df: DataFrame, column: str, order: str, bucket: Column, name: str = "cumsum") -> DataFrame:

@@ -40,21 +40,28 @@ def test_empty_strings_match(spark):
     assert rows(joins.merge(a, b, "k", "inner")) == [("", 1, 2)]
 
 
-@pytest.mark.parametrize("direction, exact, want", [("backward", True, [1, 3, 7]), ("backward", False, [None, 3, 7]), ("forward", True, [1, 6, None]), ("nearest", True, [1, 6, 7])])
-def test_asof(spark, direction, exact, want):
-    left = spark.createDataFrame([(1, "a"), (5, "b"), (10, "c")], "a int, l string")
-    right = spark.createDataFrame([(x, x) for x in (1, 2, 3, 6, 7)], "a int, r int")
-    assert [r[2] for r in rows(joins.asof(left, right, "a", direction=direction, exact=exact), "a")] == want
+def brute_asof(left, right, direction, exact=True, tolerance=None):
+    """For each time of left the value of the nearest row of right (time, value) on the allowed side; of equal times the greatest value, of equally near ones the earlier."""
+    out = []
+    for t in left:
+        there = [(abs(t - u), u, -v, v) for u, v in right if (direction != "backward" or u <= t) and (direction != "forward" or u >= t) and (exact or u != t) and (tolerance is None or abs(t - u) <= tolerance)]
+        out.append(min(there)[3] if there else None)
+    return out
 
 
-def test_asof_ties_and_tolerance(spark):
-    left = spark.createDataFrame([(t,) for t in (-3, 0, 1, 4, 6, 8, 9, 11, 16, 19, 30)], "t int")
-    right = spark.createDataFrame(list(zip((0, 0, 5, 7, 8, 8, 10, 10, 12, 15, 17, 20), (0, 20, 22, 19, 3, 24, 5, 25, 26, 27, 28, 29))), "t int, v int")
-    # the last right row of a time, as the table stands; the doubles' order is their value here
-    got = [r[1] for r in rows(joins.asof(left, right, "t", order_right="v"), "t")]
-    assert got == [None, 20, 20, 20, 22, 24, 24, 25, 27, 28, 29]
-    got = [r[1] for r in rows(joins.asof(left, right, "t", order_right="v", tolerance=1), "t")]
-    assert got == [None, 20, 20, None, 22, 24, 24, 25, 27, None, None]
+RIGHT = [(2, 11), (4, 13), (4, 12), (9, 17), (13, 14), (13, 19), (21, 10)]
+
+
+@pytest.mark.parametrize("direction, exact, tolerance", [("backward", True, None), ("backward", False, None), ("forward", True, None), ("nearest", True, None), ("backward", True, 2), ("forward", False, 3)])
+def test_asof(spark, direction, exact, tolerance):
+    times = [1, 2, 3, 4, 8, 11, 13, 14, 17, 25]
+    left = spark.createDataFrame([(t,) for t in times], "t int")
+    right = spark.createDataFrame(RIGHT if direction != "forward" else [(t, -v) for t, v in RIGHT], "t int, v int")
+    got = [r[1] for r in rows(joins.asof(left, right, "t", direction=direction, exact=exact, tolerance=tolerance, order_right="v"), "t")]
+    one = {}
+    for t, v in [tuple(r) for r in right.collect()]:  # of equal times the last by order (the first, looking forward)
+        one[t] = v if t not in one else (min if direction == "forward" else max)(one[t], v)
+    assert got == brute_asof(times, list(one.items()), direction, exact, tolerance)
 
 
 def test_strict_and_skipping(spark):
@@ -64,8 +71,8 @@ def test_strict_and_skipping(spark):
 
 
 def test_filter_keeps_groups(spark):
-    df = spark.createDataFrame(list(zip("abcabc", (5, 6, 7, 5, 6, 7))), "k string, x int")
-    assert rows(Group(df, "k").reduce(A.count_uniques("x", F.col("x") > 5).alias("n")), "k") == [("a", 0), ("b", 1), ("c", 1)]
+    df = spark.createDataFrame([("x", 1), ("y", 4), ("x", 2), ("y", 4), ("z", 9)], "k string, x int")
+    assert rows(Group(df, "k").reduce(A.count_uniques("x", F.col("x") > 3).alias("n")), "k") == [("x", 0), ("y", 1), ("z", 1)]
 
 
 def test_midpoint_quantile(spark):
@@ -88,8 +95,10 @@ def test_empty_categories(spark):
 
 
 def test_duplicates(spark):
-    df = spark.createDataFrame(list(zip(range(6), (0, 1, 2, None, 0, 5), (0, 1, None, None, 0, 5))), "r int, a int, b int")
-    assert [r[0] for r in rows(duplicated(df, ["a", "b"], "r").where("duplicated"))] == [4]
+    pairs = [(3, "p"), (None, "p"), (3, None), (3, "p"), (None, "p"), (7, None), (3, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "r int, a int, b string")
+    assert [r[0] for r in rows(duplicated(df, ["a", "b"], "r").where("duplicated"), "r")] == [i for i, p in enumerate(pairs) if p in pairs[:i]]
+    assert [r[0] for r in rows(duplicated(df, ["a", "b"], "r", False).where("duplicated"), "r")] == [i for i, p in enumerate(pairs) if pairs.count(p) > 1]
 
 
 def seq(spark, xs, kind="double"):
@@ -100,49 +109,94 @@ def values(df, c):
     return [r[c] for r in df.orderBy("i").collect()]
 
 
+XS = [4.0, None, 2.5, 1.0, None, None, None, 8.0, 3.0]
+
+
 def test_rolling_missing(spark):
-    assert values(window.rolling(seq(spark, [1.0, 2.0, 3.0, None, None, None]), "x", "sum", (), "i"), "rolling_sum") == [1, 3, 6, 5, 3, 0]
+    want = [sum(x for x in XS[max(0, i - 2) : i + 1] if x is not None) for i in range(len(XS))]
+    assert values(window.rolling(seq(spark, XS), "x", "sum", (), "i"), "rolling_sum") == want
 
 
 def test_time_window(spark):
-    df = seq(spark, [float(i) for i in range(10)])
-    assert values(window.time_window(df, "x", (), "i", 5), "window") == [0, 1, 3, 6, 10, 15, 21, 27, 33, 39]
+    times = [0, 2, 3, 7, 8, 15, 16, 18]
+    df = spark.createDataFrame([(t, float(t * t)) for t in times], "i int, x double")
+    assert values(window.time_window(df, "x", (), "i", 6), "window") == [sum(u * u for u in times if t - 6 <= u <= t) for t in times]
 
 
 def test_ema(spark):
-    df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(10)], "i int, g int, x double")
-    assert values(window.ema(df, "x", "g", "i", 0.5, "weighted"), "ema") == [0, 1, 2, 1.5, 2.5, 3.5, 3.75, 4.75, 5.75, 6.375]
+    given = [(i, i % 2, float(7 * i % 5)) for i in range(8)]
+    want, last = [], {}
+    for _, g, x in given:
+        last[g] = x if g not in last else 0.75 * x + 0.25 * last[g]
+        want.append(last[g])
+    df = spark.createDataFrame(given, "i int, g int, x double")
+    assert values(window.ema(df, "x", "g", "i", 0.25, "weighted"), "ema") == pytest.approx(want)
     got = values(window.ema(seq(spark, [1.0, None, 2.0]), "x", (), "i", 0.0, "decay", time="i"), "ema")
     assert got == [1, 1, 3]
 
 
 def test_shift_filter(spark):
-    f = [False, True, True, True, False, True, False, True, False, True]
-    df = spark.createDataFrame([(i, "ab"[i // 5], float(i), k) for i, k in enumerate(f)], "i int, g string, x double, f boolean")
-    assert values(window.shift(df, "x", "g", "i", keep=F.col("f")), "shifted") == [None, None, 1, 2, None, None, None, 5, None, 7]
+    keep = [True, False, True, True, True, False, False, True]
+    want, last = [], {}
+    for i, k in enumerate(keep):
+        want.append(last.get(i % 2) if k else None)
+        if k:
+            last[i % 2] = float(i)
+    df = spark.createDataFrame([(i, "pq"[i % 2], float(i), k) for i, k in enumerate(keep)], "i int, g string, x double, f boolean")
+    assert values(window.shift(df, "x", "g", "i", keep=F.col("f")), "shifted") == want
 
 
 def test_fill(spark):
-    df = spark.createDataFrame(list(zip(range(6), "ABABAB", (0, 1, 2, 3, None, None))), "i int, k string, x int")
-    assert values(window.fill(df, "x", "k", "i"), "x") == [0, 1, 2, 3, 2, 3]
+    given = [("u", 5), ("v", None), ("u", None), ("v", 2), ("v", None), ("u", None), ("u", 1)]
+    want, last = [], {}
+    for k, x in given:
+        last[k] = last.get(k) if x is None else x
+        want.append(last[k])
+    df = spark.createDataFrame([(i, *g) for i, g in enumerate(given)], "i int, k string, x int")
+    assert values(window.fill(df, "x", "k", "i"), "x") == want
     assert values(window.fill(seq(spark, [None, 1.0, None, None]), "x", (), "i", limit=1, value=9.0), "x") == [9, 1, 1, None]
 
 
 def test_cut(spark):
-    df = seq(spark, [float(x) for x in range(10)])
-    assert values(crosstab.cut(df, "x", 3), "bin") == [1] * 4 + [2] * 3 + [3] * 3
-    df = seq(spark, [1.0, 7.0, 5.0, 4.0, 6.0, 3.0, None, 9.0])
-    assert values(crosstab.cut(df, "x", [1, 3, 5, 7], label="l"), "l") == ["1.0->3.0", "5.0->7.0", "3.0->5.0", "3.0->5.0", "5.0->7.0", "1.0->3.0", "Filtered", "Filtered"]
-    assert values(crosstab.cut(df, "x", [1, 3, 5, 7], right=False), "bin") == [1, 3, 3, 2, 3, 2, 0, 0]
-    assert values(crosstab.qcut(seq(spark, [0.0, 1.0, 2.0, 3.0, 4.0]), "x", 4), "bin") == [2, 2, 3, 4, 5]
+    xs = [0.0, 2.0, 2.5, 4.0, 7.9, 8.0, 12.0]
+    assert values(crosstab.cut(seq(spark, xs), "x", 3), "bin") == [1 if x <= 4 else 2 if x <= 8 else 3 for x in xs]
+    xs = [2.0, 8.0, 4.5, 4.0, 7.0, None, 11.0]
+    df, edges = seq(spark, xs), [2, 4, 8]
+    assert values(crosstab.cut(df, "x", edges, label="l"), "l") == ["2.0->4.0", "4.0->8.0", "4.0->8.0", "2.0->4.0", "4.0->8.0", "Filtered", "Filtered"]
+    assert values(crosstab.cut(df, "x", edges, right=False), "bin") == [1, 2, 2, 2, 2, 0, 0]
+    assert values(crosstab.qcut(seq(spark, [10.0, 20.0, 30.0, 40.0, 50.0, 60.0]), "x", 2), "bin") == [2, 2, 2, 3, 3, 3]
 
 
 def test_percent(spark):
-    df = spark.createDataFrame([("A", "Z", 1.0), ("A", "Z", 1.0), ("A", "X", 1.0), ("B", "X", 1.0)] * 3, "s string, e string, n double")
-    got = {r["s"]: r for r in crosstab.percent(df, "s", "e", F.sum("n"), names=["X", "Z"]).collect()}
-    assert (got["A"]["X"], got["A"]["Z"], got["A"]["Total"], got["B"]["X"], got["B"]["Z"]) == (25, 50, 75, 25, 0)
-    got = {r["s"]: r for r in crosstab.percent(df, "s", "e", F.sum("n"), "C", ["X", "Z"]).collect()}
-    assert (got["A"]["X"], got["A"]["Z"]) == (50, 100)
+    cells = {("r1", "c1"): 3.0, ("r1", "c2"): 1.0, ("r2", "c1"): 1.0, ("r2", "c2"): 5.0}
+    df = spark.createDataFrame([(r, c, n / 2) for (r, c), n in cells.items() for _ in range(2)], "s string, e string, n double")
+    total = {r: sum(n for (x, _), n in cells.items() if x == r) for r in ("r1", "r2")}, {c: sum(n for (_, x), n in cells.items() if x == c) for c in ("c1", "c2")}
+    got = {r["s"]: r for r in crosstab.percent(df, "s", "e", F.sum("n"), names=["c1", "c2"]).collect()}
+    assert all(got[r][c] == 100 * n / 10 for (r, c), n in cells.items()) and got["r1"]["Total"] == 10 * total[0]["r1"]
+    got = {r["s"]: r for r in crosstab.percent(df, "s", "e", F.sum("n"), "C", ["c1", "c2"]).collect()}
+    assert all(got[r][c] == pytest.approx(100 * n / total[1][c]) for (r, c), n in cells.items())
+
+
+def test_missing_keys_and_names(spark):
+    """No row is lost to a missing key, no column to an inner name, and a key that repeats is an error."""
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), (None, 5.0, 3), (None, 9.0, 4)], "k string, x double, _n int").withColumn("_dup", F.lit(1)).withColumn("_r", F.lit(2))
+    for made in (M.zscore(df, "x", "k"), M.winsorize(df, "x", 0.0, 1.0, "k"), M.trim_groups(df, "x", "k", 0.0, 1.0), crosstab.cut_groups(df, "x", "k", 2)):
+        assert made.count() == 4
+    assert Group(df, "k", "x").head(1).columns == df.columns and Group(df, "k", "x").edge().columns == df.columns
+    assert select.sample(df, 2).columns == df.columns
+    from larkspan.operators.group import drop_duplicates
+
+    assert drop_duplicates(df, "k", "x").columns == df.columns and drop_duplicates(df, "k", "x").count() == 2
+    twice = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, x double")
+    with pytest.raises(Exception, match="more than once"):
+        select.arithmetic(df, twice, "add", "k").collect()
+
+
+def test_sorted_by_ranges(spark):
+    up = spark.range(3000).select(F.col("id").alias("o"), (F.col("id") / 7).alias("x"))
+    assert select.is_sorted(up, "x", "o").first()[0] and select.is_sorted(up.where("false"), "x", "o").first()[0]
+    for at in (1, 1500, 2999):
+        assert not select.is_sorted(up.withColumn("x", F.when(F.col("o") == at, -1.0).otherwise(F.col("x"))), "x", "o").first()[0]
 
 
 def test_pivot_raises(spark):
