@@ -72,6 +72,12 @@ def test_near_vectors_sql(spark, data, duck):
     assert plain(got).equals(plain(duck.execute(queries_d.SQL["op5_near_vectors"]).df()))
 
 
+def test_near_vectors_planted(spark, data, duck):
+    got = queries_d.near_vectors_planted(spark, data).toPandas()
+    assert plain(got).equals(plain(duck.execute(queries_d.SQL["near_vectors_planted"]).df()))
+    assert 300 < (got["n_links"] > 0).sum() < len(got)
+
+
 def test_topk_sql(spark, data, duck):
     got = queries_d.op7_topk(spark, data).toPandas()
     assert plain(got).equals(plain(duck.execute(queries_d.SQL["op7_topk"]).df()))
