@@ -13,7 +13,7 @@ from larkspan.llm.shared import spool, stars
 #: Cosine of a link.
 LINK = 0.95
 #: Vectors that centroids are fitted on (bound of the sample), vectors a centroid, centroids at most, shards a vector is in.
-SAMPLE, SHARE, CENTROIDS, OVERLAP = 8192, 1500, 1024, 2
+SAMPLE, SHARE, CENTROIDS, OVERLAP = 8192, 1500, 1024, 3
 #: Vectors of a shard at most; larger clusters are cut into parts and every part is asked for every other.
 SHARD = 4096
 #: Neighbours looked at and the slack of robust pruning, random and medoid neighbours added, medoids, nodes expanded before the range phase.
