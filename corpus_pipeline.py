@@ -1,6 +1,6 @@
 """The corpus pipeline: STAGES over documents, each stage's rows written as Parquet and read again as the next one's documents.
 
-Every stage but the last returns the columns of documents. ORACLE_SQL is None: rank-order profiles, SimHash groups and pieces are not
+Every stage but the last returns the columns of its documents, others than those of the table too. An empty table gives an empty table. ORACLE_SQL is None: rank-order profiles, SimHash groups and pieces are not
 expressible in SQL; tests hold the stages against brute-force versions.
 """
 
@@ -17,14 +17,14 @@ LEAST_SCORE = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only documents in a known language stay."""
+    """Only documents in a known language stay. Null and empty texts and texts without a letter go; repeated rows and other columns stay; a tie of languages goes to the first by name."""
     profiles = language.fit(docs.select("doc_id", "text", "lang"))
     found = language.identify(docs, profiles)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from the texts; n_chars follows."""
+    """Lines of recurring templates go from the texts; n_chars follows. No row goes: null texts stay null, empty ones empty; repeated rows get the same result."""
     return lines.drop_lines(docs).withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -34,12 +34,12 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Null texts have no words but count as rows of their source; a null source is a source; repeated rows count each."""
     return mixing.copies(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of whole texts."""
+    """Piece ids of whole texts, instead of the texts. Null texts have null ids, empty ones none; repeated rows stay."""
     return pieces.encode(docs).drop("text")
 
 

@@ -34,3 +34,21 @@ def test_stages(spark, data, tmp_path):
 
 def test_run(spark, data):
     assert P.run(spark, data).count() > 0
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through all stages; an empty table stays empty."""
+    from test_documents import empty, odd
+
+    for n, first in enumerate((odd(spark), empty(spark))):
+        docs = first
+        for k, (name, stage) in enumerate(P.STAGES):
+            out = stage(spark, docs, "")
+            out.write.parquet(f"{tmp_path}/{n}-{k}")
+            out = spark.read.parquet(f"{tmp_path}/{n}-{k}")
+            assert k + 1 == len(P.STAGES) or out.columns == first.columns
+            docs = out
+        if n:
+            assert docs.count() == 0
+        else:
+            assert set(first.columns) - {"text"} < set(docs.columns)
