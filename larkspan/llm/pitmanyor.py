@@ -2,13 +2,15 @@
 
 A context restaurant for each word seats what follows it; its tables are customers of the word restaurant, which all contexts share as
 their parent; that one's base is uniform over the training words and one for all others. Seatings are sampled by Gibbs: in each sweep customers
-leave and are seated again, contexts given their parent, the parent given the tables of its contexts. Predictive probabilities of the sweeps
-after burn-in are averaged. The state of a dish is (customers, tables); the sizes of its tables are integrated out: a customer sits alone with
-probability S(c-1, t-1) / S(c, t) of generalised Stirling numbers.
-
-Distribution: contexts are dealt to shards by a hash. Each shard is a franchise of its own with a parent for its contexts; contexts
-that alone would fill a shard are cut by the hash of what follows. The parent that all scores use is seated with all training tokens, every
-customer of a context at its own table for it: its dishes with equal counts are alike, so it is sampled by distinct counts.
+of contexts leave and are seated again under a draw of the parent, then the parent is seated with the tables of all contexts. The predictive
+probability of the seatings after each sweep past burn-in is averaged. The state of a dish is (customers, tables); the sizes of its tables are
+integrated out: a customer sits alone with probability S(c-1, t-1) / S(c, t) of generalised Stirling numbers. A context's weight of new tables
+rises with its tables; drawn as a gamma variable of theta / d + tables (times d), it leaves the dishes of the context independent of each other.
+
+Distribution: contexts are dealt to shards by a hash; contexts that alone would fill a shard are cut by the hash of what follows, their tables
+are added up between sweeps. After each sweep shards send the tables of each dish to the part of the word restaurant that the dish's hash is dealt
+to, and get its customers and its draw. So all shards share one parent; the word restaurant's dishes with equal customers are alike, so its tables
+are sampled by distinct counts.
 Documents travel once, as numbers of words in a batch; batches ask shards with packed sorted hashes and get packed answers in the same order.
 """
 
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.shared import release, spool
+from larkspan.llm.shared import release, spool, unspool
 
 #: The end token: no word can be a line end. It is also the context of a text's first word.
 END = "\n"
@@ -86,8 +88,19 @@ def discount(n1: float, n2: float) -> float:
     return float(np.clip((n1 + 0.5) / (n1 + 2 * n2 + 1), 0.05, 0.95))
 
 
+class Tokens:
+    """Training tokens and distinct words, from the distinct counts of words and how many words have each; the base score's terms."""
+
+    def __init__(self, counts: np.ndarray, words: np.ndarray):
+        self.total, self.distinct = int((counts * words).sum()), int(words.sum())
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
+
+
 class Words:
-    """The word restaurant, by distinct counts: averaged predictive probability of a word of each count, of an unknown one, and the base score's terms."""
+    """The word restaurant, by distinct counts of customers: averaged predictive probability of a word of each count and of an unknown one, and the last
+    sweep's tables, under which draw() draws the restaurant's weights of words; fresh is the weight of its base."""
 
     def __init__(self, counts: np.ndarray, dishes: np.ndarray, seed: int):
         self.total, self.distinct = int((counts * dishes).sum()), int(dishes.sum())
@@ -105,48 +118,65 @@ class Words:
                 rest = (THETA + d * seats) * base
                 known, new, samples = known + (counts - d * mean + rest) / (THETA + self.total), new + rest / (THETA + self.total), samples + 1
         self.counts, self.known, self.new = counts, known / samples, new / samples
+        self.d, self.tables, self.fresh = d, t.reshape(len(counts), CHAINS), float(rng.gamma(THETA + d * seats))
 
     def p(self, c: np.ndarray) -> np.ndarray:
         if not len(self.counts):
             return np.full(len(c), self.new)
         return np.where(c > 0, self.known[np.minimum(np.searchsorted(self.counts, c), len(self.counts) - 1)], self.new)
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
-
-
-def franchise(u: np.ndarray, w: np.ndarray, c: np.ndarray, scale: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context restaurants u with c customers for dish w (numbers from 0), sampled with a parent they share: by dish, the averaged discounted share of its
-    customers, and by context, that of its parent. scale: customers of the whole context over those that are here."""
-    rng, contexts, words = np.random.default_rng(seed), len(scale), int(w.max(initial=-1)) + 1
-    d = discount(int((c == 1).sum()), int((c == 2).sum()))
-    total = np.bincount(u, c, contexts) * scale
-    parent, t, up = np.full(words, 1 / max(1, words)), None, None
-    own, back, samples = np.zeros(len(c)), np.zeros(contexts), 0
-    for k in range(SWEEPS):
-        seats = np.bincount(u, np.minimum(c, 1) if t is None else t, contexts) * scale
-        pull = (THETA + d * seats[u]) * parent[w]
-        t = reseat(c, first_tables(c, pull, d, rng) if t is None else t, pull, d, MOVES, rng)
-        c1 = np.bincount(w, t, words).astype(np.int64)
-        d1 = discount(int((c1 == 1).sum()), int((c1 == 2).sum()))
-        rest = (THETA + d1 * float((np.minimum(c1, 1) if up is None else up).sum())) / (words + 1)
-        pull = np.full(words, rest)
-        up = reseat(c1, first_tables(c1, pull, d1, rng) if up is None else up, pull, d1, MOVES, rng)
-        parent = (c1 - d1 * up + (THETA + d1 * up.sum()) / (words + 1)) / (THETA + c1.sum())
-        if k >= BURN_IN:
-            own += (c - d * t) / (THETA + total[u])
-            back += (THETA + d * np.bincount(u, t, contexts) * scale) / (THETA + total)
-            samples += 1
-    return own / samples, back / samples
+    def draw(self, c: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Gamma weights of dishes of c customers, 0 without customers."""
+        out, on = np.zeros(len(c)), c > 0
+        if on.any():
+            out[on] = rng.gamma(c[on] - self.d * self.tables[np.searchsorted(self.counts, c[on]), rng.integers(0, CHAINS, int(on.sum()))])
+        return out
+
+
+class Shard:
+    """Pairs (context u, dish w) of a shard in order, with c training customers; hot: numbers of its contexts that are cut, and their hashes."""
+
+    def __init__(self, blob: bytes | None = None, *made: np.ndarray):
+        if blob is not None:
+            raw = _raw(blob)
+            n, pairs, dishes, hot = np.frombuffer(raw, np.int64, 4).tolist()
+            made = _unpack(raw, 32, (np.int32, n), (np.uint8, 8 * pairs), (np.int64, pairs), (np.uint8, 8 * dishes), (np.int64, hot), (np.int64, hot))
+            made = (made[0], _sums(made[1]), made[2], _sums(made[3]), *made[4:])
+        self.runs, self.w, self.c, self.dishes, self.hot, self.hashes = made
+        self.u, self.n = np.repeat(np.arange(len(self.runs)), self.runs), len(self.runs)
+
+    def blob(self) -> bytes:
+        sizes = np.array([self.n, len(self.w), len(self.dishes), len(self.hot)])
+        return _press(sizes, self.runs.astype(np.int32), _steps(self.w), self.c.astype(np.int64), _steps(self.dishes), self.hot.astype(np.int64), self.hashes.astype(np.int64))
+
+    def per_context(self, x: np.ndarray, whole: dict[int, float]) -> np.ndarray:
+        """Sums by context; whole: those of contexts that are cut, by hash."""
+        out = np.bincount(self.u, x, self.n).astype(np.float64)
+        out[self.hot] = [whole[h] for h in self.hashes.tolist()]
+        return out
+
+    def sweep(self, t: np.ndarray | None, seats: dict[int, float], weights: dict[int, float], parent: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+        """Tables of all pairs after one sweep, under a draw of the parent by dish. t: those before, None at first. seats, weights: the tables
+        of contexts that are cut, and the gamma variables drawn for them."""
+        g = rng.gamma(THETA / d + self.per_context(np.minimum(self.c, 1) if t is None else t, seats))
+        g[self.hot] = [weights[h] for h in self.hashes.tolist()]
+        pull = d * g[self.u] * parent[self.w]
+        return reseat(self.c, first_tables(self.c, pull, d, rng) if t is None else t, pull, d, MOVES, rng)
+
+    def predict(self, t: np.ndarray, seats: dict[int, float], customers: dict[int, float], parent: np.ndarray, d: float) -> np.ndarray:
+        """Predictive probability of each pair under one seating and the parent's probabilities by dish."""
+        total = THETA + self.per_context(self.c, customers)
+        return (self.c - d * t) / total[self.u] + ((THETA + d * self.per_context(t, seats)) / total)[self.u] * parent[self.w]
 
 
 def _logs(p: np.ndarray) -> np.ndarray:
-    """Probabilities as 2-byte logarithms, steps of a 2048th of a power of two; 0 is the last value."""
-    return np.where(p > 0, np.minimum(np.round(-2048 * np.log2(np.maximum(p, 1e-30))), 65534), 65535).astype(np.uint16)
+    """Probabilities as 2-byte logarithms, steps of a 1024th of a power of two, down to 2^-63."""
+    return np.round(-1024 * np.log2(np.clip(p, 2.0**-63, 1))).astype(np.uint16)
 
 
 def _unlog(x: np.ndarray) -> np.ndarray:
-    return np.where(x == 65535, 0.0, np.exp2(-x.astype(np.float64) / 2048))
+    """Their logarithms to base 10."""
+    return x * (-np.log10(2) / 1024)
 
 
 def _press(*parts: np.ndarray) -> bytes:
@@ -161,6 +191,50 @@ def _raw(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones and so on: they compress better."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).ravel()
+
+
+def _whole(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).ravel().view(kind)
+
+
+def _steps(a: np.ndarray) -> np.ndarray:
+    """8-byte numbers as planes of the steps between them, the sign in the lowest bit."""
+    d = np.diff(a.astype(np.int64), prepend=0)
+    return _planes(d << 1 ^ d >> 63)
+
+
+def _sums(planes: np.ndarray) -> np.ndarray:
+    d = _whole(planes, np.int64)
+    return np.cumsum(d >> 1 ^ -(d & 1))
+
+
+def _unpack(raw: bytes, at: int, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    """Arrays of these types and lengths, one after the other."""
+    out = []
+    for kind, n in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _wide(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """40-bit hashes of their low 32 and high 8 bits."""
+    return low.astype(np.int64) | high.astype(np.int64) << 32
+
+
+def _rows(made: list[tuple[int, str, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array(list(x), kind) for x, kind in zip(zip(*made, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["to", "kind", "origin", "blob"])
+
+
+def _blobs(t: pa.Table, kind: str) -> list[tuple[int, bytes]]:
+    """(origin, blob) of the rows of a kind, by origin: rows come in any order, sums must not depend on it."""
+    mine = t.filter(pc.equal(t.column("kind"), kind)).sort_by("origin")
+    return list(zip(mine.column("origin").to_pylist(), mine.column("blob").to_pylist(), strict=True))
+
+
 def pack(docs: DataFrame, shards: int, batch: int = BATCH) -> DataFrame:
     """From (doc_id, held, text): a row for each batch of documents (batch, ids, held, size, words, seq, cuts).
 
@@ -192,7 +266,7 @@ def pack(docs: DataFrame, shards: int, batch: int = BATCH) -> DataFrame:
         own = np.bincount(seq, np.repeat(~held, size), len(order))
         return pa.RecordBatch.from_arrays([
             pa.array([number]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([len(order)]),
-            pa.array([_press(hashes[order], own.astype(np.int32))], pa.binary()), pa.array([_press(size.astype(np.int32), seq.astype(np.int32))], pa.binary()),
+            pa.array([_press(hashes[order], own.astype(np.int32))], pa.binary()), pa.array([_press(_planes(np.concatenate((size, seq)).astype(np.int32)))], pa.binary()),
             pa.array([_press(np.bincount((hashes % np.uint64(shards)).astype(np.int64), minlength=shards).astype(np.int32), (hashes[order] >> np.uint64(20)).astype(np.uint8))], pa.binary()),
         ], names=["batch", "ids", "held", "size", "words", "seq", "cuts"])
 
@@ -227,7 +301,7 @@ class Batch:
             raw = _raw(words)
             self.hashes, self.own = np.frombuffer(raw, np.uint64, size), np.frombuffer(raw, np.int32, offset=8 * size)
         if seq is not None:
-            raw = np.frombuffer(_raw(seq), np.int32).astype(np.int64)
+            raw = _whole(np.frombuffer(_raw(seq), np.uint8), np.int32).astype(np.int64)
             self.size, self.seq = raw[:n_docs], raw[n_docs:]
             starts = np.cumsum(self.size) - self.size
             before = np.empty_like(self.seq)
@@ -292,8 +366,8 @@ def score(docs: DataFrame, held, seed: int = 11, batch: int = BATCH, shard: int
             every[c] = every.get(c, 0) + k
         frequent += zip(a[2 + 2 * n : 2 + 2 * n + h].tolist(), a[2 + 2 * n + h :].tolist(), strict=True)
     counts = np.array(sorted(every), np.int64)
-    model = spark.sparkContext.broadcast(Words(counts, np.array([every[c] for c in counts.tolist()], np.int64), seed))
-    total = model.value.total
+    tokens = Tokens(counts, np.array([every[c] for c in counts.tolist()], np.int64))
+    total = tokens.total
     # contexts with over a quarter of a shard's tokens are cut: at most 4 * shards of them
     cuts = {h: (-(-c * 4 * shards // total), c) for h, c in frequent if c * 4 * shards > total}
     hot = spark.sparkContext.broadcast(cuts)
@@ -337,18 +411,28 @@ def score(docs: DataFrame, held, seed: int = 11, batch: int = BATCH, shard: int
                     blob = _press(np.array([len(first), len(mine), len(marks)]), marks, low(hu), np.diff(np.append(first, len(mine))).astype(np.int32), own[mine], low(hw), high(hu), high(hw))
                     yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([number]), pa.array([blob], pa.binary())], names=["shard", "batch", "blob"])
 
-    def seat(t: pa.Table) -> pa.Table:
-        numbers, sizes, us, ws, cs, marked = t.column("batch").to_pylist(), [], [], [], [], []
-        for x in t.column("blob"):
-            raw = _raw(x.as_py())
-            n_u, n, n_marks = (int(y) for y in np.frombuffer(raw, np.int64, 3))
-            at, parts = 24, []
-            for kind, k in ((np.int64, n_marks), (np.uint32, n_u), (np.int32, n_u), (np.int32, n), (np.uint32, n), (np.uint8, n_u), (np.uint8, n)):
-                parts.append(np.frombuffer(raw, kind, k, at))
-                at += parts[-1].nbytes
-            marks, low_u, runs, c, low_w, high_u, high_w = parts
-            us.append(np.repeat(low_u.astype(np.int64) | high_u.astype(np.int64) << 32, runs))
-            ws.append(low_w.astype(np.int64) | high_w.astype(np.int64) << 32)
+    # the word restaurant's parts: so few that a part has about the words of several shards
+    parts = max(2, -(-shards // 8))
+    short = lambda h: int(np.array([h], np.int64).view(np.uint64)[0] >> np.uint64(24))
+    customers = {short(h): float(c) for h, (_, c) in cuts.items()}
+
+    def sent(x: Shard, shard: int, t: np.ndarray) -> list[tuple[int, str, int, bytes]]:
+        """To each part, the tables of each of its dishes; to the driver, those of contexts that are cut and how many pairs have one and two customers."""
+        tables, part = np.bincount(x.w, t, len(x.dishes)).astype(np.int64), x.dishes % parts
+        out = [(p, "tally", shard, _press(np.array([int((part == p).sum())]), _steps(x.dishes[part == p]), tables[part == p])) for p in range(parts)]
+        own = np.bincount(x.u, t, x.n).astype(np.int64)[x.hot]
+        return [*out, (-1, "stats", shard, _press(np.array([int((x.c == 1).sum()), int((x.c == 2).sum()), len(own)]), x.hashes.astype(np.int64), own))]
+
+    def gather(t: pa.Table) -> pa.Table:
+        """A shard's pairs, and where each batch's pairs are among them."""
+        shard, t = t.column("shard")[0].as_py(), t.sort_by("batch")
+        numbers, sizes, us, ws, cs, marked = t.column("batch").to_numpy(), [], [], [], [], []
+        for blob in t.column("blob"):
+            raw = _raw(blob.as_py())
+            n_u, n, n_marks = np.frombuffer(raw, np.int64, 3).tolist()
+            marks, low_u, runs, c, low_w, high_u, high_w = _unpack(raw, 24, (np.int64, n_marks), (np.uint32, n_u), (np.int32, n_u), (np.int32, n), (np.uint32, n), (np.uint8, n_u), (np.uint8, n))
+            us.append(np.repeat(_wide(low_u, high_u), runs))
+            ws.append(_wide(low_w, high_w))
             cs.append(c)
             sizes.append(n)
             marked.append(marks)
@@ -358,26 +442,111 @@ def score(docs: DataFrame, held, seed: int = 11, batch: int = BATCH, shard: int
         del ws
         found, at = np.unique(u * len(dishes) + w, return_inverse=True)
         c = np.bincount(at, np.concatenate(cs), len(found)).astype(np.int64)
-        there = np.flatnonzero(c)
-        pu, pw = found // max(1, len(dishes)), found % max(1, len(dishes))
-        here = np.bincount(pu, c, len(contexts))
-        scale = np.ones(len(contexts))
-        for h, (_, n) in hot.value.items():
-            h = int(np.array([h], np.int64).view(np.uint64)[0] >> np.uint64(24))
-            k = int(np.searchsorted(contexts, h))
-            if k < len(contexts) and contexts[k] == h and here[k]:
-                scale[k] = max(1.0, n / here[k])
-        own = np.zeros(len(found))
-        own[there], back = franchise(pu[there], pw[there], c[there], scale, seed + t.column("shard")[0].as_py())
-        own, back, ends = _logs(own)[at], _logs(back)[u], np.cumsum(sizes)[:-1]
-        blobs = [_press(np.array([len(m)]), m, a, b) for m, a, b in zip(marked, np.split(own, ends), np.split(back, ends), strict=True)]
-        n = len(numbers)
-        del own, back, found, at, u, w, c, there, pu, pw
+        hot = np.flatnonzero(np.isin(contexts, np.array(sorted(customers), np.int64)))
+        x = Shard(None, np.bincount(found // max(1, len(dishes)), minlength=len(contexts)), found % max(1, len(dishes)), c, dishes, hot, contexts[hot])
+        ask = _press(np.array([len(numbers), sum(map(len, marked)), len(at)]), numbers, np.array(sizes), np.array([len(m) for m in marked]), *marked, _steps(at))
+        out = _rows([(shard, "pairs", shard, x.blob()), (shard, "ask", shard, ask), *sent(x, shard, np.minimum(c, 1))])
+        del u, w, found, at, c, x
         release()
-        return pa.table({"batch": pa.array(numbers, pa.int64()), "shard": pa.array([t.column("shard")[0].as_py()] * n, pa.int64()), "kind": pa.array(["pair"] * n), "blob": pa.array(blobs, pa.binary())})
-
+        return out
+
+    def tallies(t: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+        """Shards, how many dishes each has, which these are among the part's dishes, and the customers of the part's dishes: the tables of all contexts."""
+        shard, raws = zip(*((s, _raw(b)) for s, b in _blobs(t, "tally")), strict=True)
+        sizes = [int(np.frombuffer(r, np.int64, 1)[0]) for r in raws]
+        own = [_unpack(r, 8, (np.uint8, 8 * n), (np.int64, n)) for r, n in zip(raws, sizes, strict=True)]
+        known, at = np.unique(np.concatenate([_sums(h) for h, _ in own]), return_inverse=True)
+        return list(shard), sizes, at, np.bincount(at, np.concatenate([n for _, n in own]), len(known)).astype(np.int64)
+
+    def spread(t: pa.Table) -> pa.Table:
+        *_, c = tallies(t)
+        n, dishes = np.unique(c[c > 0], return_counts=True)
+        return _rows([(-1, "spread", t.column("to")[0].as_py(), _press(n, dishes))])
+
+    def replies(words, k: int):
+        def reply(t: pa.Table) -> pa.Table:
+            part = t.column("to")[0].as_py()
+            shard, sizes, at, c = tallies(t)
+            draw = words.value.draw(c, np.random.default_rng([seed, k, part]))
+            ends = np.cumsum(sizes)[:-1]
+            return _rows([(s, "reply", part, _press(np.array([draw.sum()]), x, y)) for s, x, y in zip(shard, np.split(c[at], ends), np.split(draw[at].astype(np.float32), ends), strict=True)])
+
+        return reply
+
+    def seated(t: pa.Table, words: Words) -> tuple[Shard, list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """A shard's pairs, its tables after each sweep that is averaged (and the last), the parent's probabilities by dish with each, and a draw of the parent."""
+        x = Shard(_blobs(t, "pairs")[0][1])
+        c, draw, mass = np.zeros(len(x.dishes), np.int64), np.zeros(len(x.dishes)), words.fresh
+        for part, blob in _blobs(t, "reply"):
+            raw, mine = _raw(blob), np.flatnonzero(x.dishes % parts == part)
+            m, c[mine], draw[mine] = _unpack(raw, 0, (np.float64, 1), (np.int64, len(mine)), (np.float32, len(mine)))
+            mass += float(m[0])
+        tables, parents = [], []
+        for _, blob in _blobs(t, "state"):
+            raw = _raw(blob)
+            n, m = np.frombuffer(raw, np.int64, 2).tolist()
+            arrays = _unpack(raw, 16, *[(np.int64, len(x.w))] * n, *[(np.float32, len(x.dishes))] * m)
+            tables, parents = arrays[:n], arrays[n:]
+        return x, tables, [*parents, words.p(c).astype(np.float32)], (draw + words.fresh / (words.distinct + 1)) / mass
+
+    def sweeps(words, k: int, d: float, seats: dict[int, float], weights: dict[int, float]):
+        def sweep(t: pa.Table) -> pa.Table:
+            shard = t.column("to")[0].as_py()
+            x, tables, parents, parent = seated(t, words.value)
+            new = x.sweep(tables[-1] if tables else None, seats, weights, parent, d, np.random.default_rng([seed, k, shard, 1]))
+            if k <= BURN_IN:  # the seatings before are not averaged
+                tables, parents = [], []
+            return _rows([(shard, "state", shard, _press(np.array([len(tables) + 1, len(parents)]), *tables, new, *parents)), *sent(x, shard, new)])
+
+        return sweep
+
+    def answers_of(words, d: float, seats: list[dict[int, float]]):
+        def answer(t: pa.Table) -> pa.Table:
+            shard = t.column("to")[0].as_py()
+            x, tables, parents, _ = seated(t, words.value)
+            p = _logs(sum(x.predict(y, s, customers, z, d) for y, s, z in zip(tables, seats, parents, strict=True)) / len(tables))
+            raw = _raw(_blobs(t, "ask")[0][1])
+            n, m, asked = np.frombuffer(raw, np.int64, 3).tolist()
+            numbers, sizes, n_marks, marks, at = _unpack(raw, 24, (np.int64, n), (np.int64, n), (np.int64, n), (np.int64, m), (np.uint8, 8 * asked))
+            cut = lambda a, by: np.split(a, np.cumsum(by)[:-1])
+            blobs = [_press(np.array([len(y)]), y, z) for y, z in zip(cut(marks, n_marks), cut(p[_sums(at)], sizes), strict=True)]
+            del x, tables, parents, p, at
+            release()
+            return pa.table({"batch": pa.array(numbers, pa.int64()), "shard": pa.array([shard] * n, pa.int64()), "kind": pa.array(["pair"] * n), "blob": pa.array(blobs, pa.binary())})
+
+        return answer
+
+    flow = "to long, kind string, origin long, blob binary"
+    of_kind = lambda x, kind: x.where(F.col("kind") == kind).select("to", "kind", "origin", "blob")
     asked = packed.select("size", "held", "words", "seq", "cuts", "batch").mapInArrow(ask_pairs, "shard long, batch long, blob binary")
-    seated = asked.groupBy("shard").applyInArrow(seat, reply)
+    last = made = spool(asked.groupBy("shard").applyInArrow(gather, flow), "pairs", "kind")
+    rng, d, seats = np.random.default_rng([seed, 2]), 0.0, []
+    for k in range(SWEEPS + 1):
+        # a part's distinct numbers of customers, no more than the root of twice its customers; a shard's contexts that are cut
+        found: dict[int, int] = {}
+        spreads = spool(of_kind(last, "tally").groupBy("to").applyInArrow(spread, flow), "spread", "kind")
+        for row in spreads.select("blob").toLocalIterator():
+            for c, n in zip(*np.frombuffer(_raw(row[0]), np.int64).reshape(2, -1).tolist(), strict=True):
+                found[c] = found.get(c, 0) + n
+        counts = np.array(sorted(found), np.int64)
+        parent = spark.sparkContext.broadcast(Words(counts, np.array([found[c] for c in counts.tolist()], np.int64), seed + k))
+        stats = [np.frombuffer(_raw(r[0]), np.int64) for r in of_kind(last, "stats").select("blob").toLocalIterator()]
+        d = d or discount(sum(int(x[0]) for x in stats), sum(int(x[1]) for x in stats))
+        seats.append(dict.fromkeys(sorted(customers), 0.0))
+        for x in stats:
+            for h, n in zip(*x[3:].reshape(2, -1).tolist(), strict=True):
+                seats[-1][h] += n
+        weights = {h: float(rng.gamma(THETA / d + n)) for h, n in seats[-1].items()}
+        rows = of_kind(last, "tally").groupBy("to").applyInArrow(replies(parent, k), flow).unionAll(of_kind(made, "pairs"))
+        if k:
+            rows = rows.unionAll(of_kind(last, "state"))
+        if k < SWEEPS:
+            before, last = last, spool(rows.groupBy("to").applyInArrow(sweeps(parent, k, d, seats[-1], weights), flow), "sweep", "kind")
+            if k:
+                unspool(before)
+    predicted = spool(rows.unionAll(of_kind(made, "ask")).groupBy("to").applyInArrow(answers_of(parent, d, seats[BURN_IN + 1 :]), reply), "predicted", "kind").select("batch", "shard", "kind", "blob")
+    unspool(last)
+    unspool(made)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {k: left.column(k)[0].as_py() for k in left.column_names}
@@ -385,25 +554,21 @@ def score(docs: DataFrame, held, seed: int = 11, batch: int = BATCH, shard: int
         b = Batch(row["size"], len(ids), None, row["seq"], row["cuts"], shards)
         answers = {(k, s): x for k, s, x in zip(right.column("kind").to_pylist(), right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True)}
         c = np.concatenate([np.frombuffer(_raw(answers["word", s]), np.int64) for s in range(shards)])
-        replies = [_raw(answers["pair", s]) for s in range(shards)]
-        marks = np.frombuffer(replies[0], np.int64, int(np.frombuffer(replies[0], np.int64, 1)[0]), 8).tolist()
-        u, w, where, at = pairs(b, dict(zip(marks[::2], marks[1::2], strict=True)))
+        answered = [_raw(answers["pair", s]) for s in range(shards)]
+        marks = np.frombuffer(answered[0], np.int64, int(np.frombuffer(answered[0], np.int64, 1)[0]), 8).tolist()
+        u, _, where, at = pairs(b, dict(zip(marks[::2], marks[1::2], strict=True)))
         order = np.argsort(where, kind="stable")
         span = _spans(where[order], shards)
-        own, back = np.zeros(len(u)), np.zeros(len(u))
+        good = np.zeros(len(u))
         for s in range(shards):
-            mine = order[span[s] : span[s + 1]]
-            x = np.frombuffer(replies[s], np.uint16, offset=8 + 8 * len(marks))
-            own[mine], back[mine] = _unlog(x[: len(mine)]), _unlog(x[len(mine) :])
-        m = model.value
-        good = np.log10(own + back * m.p(c)[w])[at]
+            good[order[span[s] : span[s + 1]]] = _unlog(np.frombuffer(answered[s], np.uint16, offset=8 + 8 * len(marks)))
         of = lambda x: np.add.reduceat(x, b.starts)
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held_, pa.bool_()), "n_tokens": pa.array(b.size), "n_known": of((c > 0).astype(np.int64)[b.seq]),
-            "base_score": of(m.base(c)[b.seq]), "score": of(good),
+            "base_score": of(tokens.base(c)[b.seq]), "score": of(good[at]),
         })
 
-    answers = words.where("batch >= 0").unionAll(seated).select(F.col("batch").alias("to"), "shard", "kind", "blob")
+    answers = words.where("batch >= 0").unionAll(predicted).select(F.col("batch").alias("to"), "shard", "kind", "blob")
     out = packed.drop("words").groupBy("batch").cogroup(answers.groupBy("to")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six code points; the character class as Java, DuckDB and Python read it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting by which a query's shuffle files go when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def slices(batch, column: str, rows: int = 512, size: int = 1 << 21):
@@ -48,14 +50,31 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: the lineage is cut, lost executors lose nothing."""
+def spool(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: the lineage is cut, lost executors lose nothing. by: columns of few values,
+    each with a folder of its own, so that a filter on it reads nothing else; then shuffle files of the write go at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if by:
+        before = spark.conf.get(TIDY, None)
+        spark.conf.set(TIDY, "true")
+        try:
+            df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+        finally:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+    else:
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unspool(df: DataFrame) -> None:
+    """Delete the table that spool() has read back as df; nothing may read it from then on."""
+    spark = df.sparkSession
+    for path in {f[: f.index("/", f.index(spark.sparkContext.applicationId) + len(spark.sparkContext.applicationId) + 1)] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns called c0, c1 and so on, and what each is called now: no name of an operator's own columns can clash with one of df."""
     at = {c: f"c{i}" for i, c in enumerate(df.columns)}

@@ -431,6 +431,74 @@ def test_seating_of_large_dishes():
     assert np.mean(means[pitmanyor.BURN_IN :]) == pytest.approx(want, rel=0.05)
 
 
+def test_contexts_share_a_parent_of_their_tables(spark):
+    """Behind an unknown context, a word that many contexts have is more probable than one as frequent that a single context has, wherever the contexts are."""
+    taught = [(i, f"san francisco c{i} glass") for i in range(300)]
+    asked = [(1000, "unseen francisco"), (1001, "unseen glass")]
+    d = spark.createDataFrame(taught + asked, "doc_id long, text string")
+    for shard in (10**6, 500):
+        p = {r["doc_id"]: r["score"] for r in pitmanyor.score(d, F.col("doc_id") >= 1000, shard=shard).where("doc_id >= 1000").collect()}
+        assert p[1001] - p[1000] > 1.5
+
+
+def test_franchise_matches_customers_one_by_one(monkeypatch):
+    """Averaged predictive probabilities of a small franchise against a sampler that seats each customer at tables of their own, in contexts and parent."""
+    d, theta, rng = 0.5, pitmanyor.THETA, np.random.default_rng(3)
+    monkeypatch.setattr(pitmanyor, "discount", lambda *_: d)
+    counts = np.array([[5, 2, 0, 1], [1, 0, 3, 0], [0, 4, 1, 2]])
+    n, v = counts.shape
+
+    # plainly: sizes of tables by (context, dish) and by dish of the parent
+    low, top = {(u, w): [] for u in range(n) for w in range(v)}, [[] for _ in range(v)]
+    seats, base = (lambda u: sum(len(low[u, w]) for w in range(v))), 1 / (v + 1)
+
+    def parent(w):
+        every = sum(map(len, top))
+        return (sum(top[w]) - d * len(top[w]) + (theta + d * every) * base) / (theta + sum(map(sum, top)))
+
+    def sit(tables, new):
+        k = rng.choice(len(tables) + 1, p=(x := np.array([*(y - d for y in tables), new])) / x.sum())
+        tables[k : k + 1] = [tables[k] + 1 if k < len(tables) else 1]
+        return tables[k] == 1
+
+    def leave(tables):
+        k = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[k : k + 1] = [tables[k] - 1] if tables[k] > 1 else []
+
+    def come(u, w):
+        if sit(low[u, w], (theta + d * seats(u)) * parent(w)):
+            sit(top[w], (theta + d * sum(map(len, top))) * base)
+
+    customers = [(u, w) for u in range(n) for w in range(v) for _ in range(counts[u, w])]
+    for u, w in customers:
+        come(u, w)
+    want, samples = np.zeros((n, v)), 0
+    for k in range(1200):
+        for u, w in customers:
+            before = len(low[u, w])
+            leave(low[u, w])
+            if len(low[u, w]) < before:
+                leave(top[w])
+            come(u, w)
+        if k >= 50:
+            p = [parent(w) for w in range(v)]
+            want += [[(counts[u, w] - d * len(low[u, w]) + (theta + d * seats(u)) * p[w]) / (theta + counts[u].sum()) for w in range(v)] for u in range(n)]
+            samples += 1
+    want /= samples
+
+    none = np.zeros(0, np.int64)
+    x = pitmanyor.Shard(pitmanyor.Shard(None, np.full(n, v), np.tile(np.arange(v), n), counts.ravel(), np.arange(v) << 30, none, none).blob())
+    t, got, samples = None, np.zeros(n * v), 0
+    for k in range(1200):
+        c = np.bincount(x.w, np.minimum(x.c, 1) if t is None else t, v).astype(np.int64)
+        words = pitmanyor.Words(*np.unique(c, return_counts=True), k)
+        if k >= 50:
+            got, samples = got + x.predict(t, {}, {}, words.p(c), d), samples + 1
+        draw = words.draw(c, rng)
+        t = x.sweep(t, {}, {}, (draw + words.fresh / (v + 1)) / (draw.sum() + words.fresh), d, rng)
+    assert got / samples == pytest.approx(want.ravel(), rel=0.04, abs=0.004)
+
+
 def test_scores_odd(spark):
     d = odd(spark)
     none, every = F.lit(True), F.lit(False)
