@@ -129,10 +129,12 @@ def tokenizer(raw: bytes):
 
 #: What units are parted by on the way; texts that have it are parted one by one. Units in a run, and runs that the libraries take at once.
 SEP, RUN, RUNS = "\x1f", 64, 512
+#: Units that a coder keeps from batch to batch; beyond, it starts anew.
+KEPT = 1_000_000
 
 
 class Coder:
-    """Encodes batches of texts by units, each distinct unit of a batch once: encoded, decoded by the library's decoder and held against sentencepiece.
+    """Encodes batches of texts by units, each distinct unit of its batches once (up to KEPT of them): encoded, decoded by the library's decoder and held against sentencepiece.
 
     A unit is a run of spaces with the word after it, or a line end. Both are proved on the vocabulary: no piece has a marker after another character, and
     no piece but a byte has a line end, so no merge crosses the border of units. So runs of units, parted by line ends, go through both libraries
@@ -150,12 +152,29 @@ class Coder:
         end = [i for i, (p, _, t) in enumerate(m.pieces) if t == BYTE and p == "<0x0A>"]
         self.by_units = m.words_part and not m.charsmap and not m.squeeze and m.byte_fallback and bool(end) and not any("\n" in p for p, _, _ in m.pieces)
         self.end = end[0] if end else -1
+        self.kept = None
         # units are given as normalised text and keep their space
         self.plain = Tokenizer(self.tok.model)
         self.plain.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.split = re.compile(" +[^ \n]*|\n|[^ \n]+").findall
         self.head = len(self.judge.encode("\n")) if m.dummy_prefix else 0  # sentencepiece puts a space before a text, so it is asked behind a line end
 
+    def recall(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, and by unit: where its own start, their number, whether it decodes to itself, whether sentencepiece agrees) of distinct units; new ones are learned."""
+        if self.kept is None or len(self.kept[0]) + len(units) > KEPT:
+            none, no = np.zeros(0, np.int32), np.zeros(0, bool)
+            self.kept = (units[:0], none, none, none, no, no)
+        old, ids, *by_unit = self.kept
+        found = pc.index_in(units, value_set=old)
+        new = found.is_null()
+        learned, size, ok, same = self.learn(units.filter(new))
+        starts = (len(ids) + np.cumsum(size) - size).astype(np.int32)
+        by_unit = [np.concatenate(x) for x in zip(by_unit, (starts, size.astype(np.int32), ok, same), strict=True)]
+        self.kept = (pa.concat_arrays([old, units.filter(new)]), np.concatenate((ids, learned)), *by_unit)
+        slot, new = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), new.to_numpy(zero_copy_only=False)
+        slot[new] = len(old) + np.arange(int(new.sum()))
+        return self.kept[1], *(x[slot] for x in by_unit)
+
     def learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, number by unit, whether it decodes to itself, whether sentencepiece has the same ids) of distinct units."""
         runs = np.append(np.arange(0, len(units), RUN, dtype=np.int32), np.int32(len(units)))
@@ -222,9 +241,9 @@ class Coder:
         whole = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False) if self.by_units else np.ones(len(texts), bool)
         flat, n = self.units(pc.if_else(pa.array(whole), "", texts))
         flat = flat.dictionary_encode()
-        known, size, decodes, agrees = self.learn(flat.dictionary)
+        known, starts, size, decodes, agrees = self.recall(flat.dictionary)
         slot, row = flat.indices.to_numpy(), np.repeat(np.arange(len(n), dtype=np.int32), n)
-        starts, number = np.cumsum(size, dtype=np.int32) - size.astype(np.int32), size.astype(np.int32)[slot]
+        number = size[slot]
         at = np.repeat(starts[slot] - (np.cumsum(number, dtype=np.int32) - number), number)
         at += np.arange(len(at), dtype=np.int32)
         ids = known[at]

@@ -358,6 +358,20 @@ def test_pieces_unigram(spark):
     assert all(len(x) == 0 for x in coder.encode(pa.array([], pa.string())))
 
 
+def test_units_are_learned_once_by_a_coder(monkeypatch):
+    """Later batches learn only units that earlier ones had not, and get the same as from a coder of their own; so too where few units are kept."""
+    raw = open(pieces.MODEL, "rb").read()
+    batches = [pa.array(["a new house\nand more", "", "\ud55c odd\u2581mark"]), pa.array(["more new \ud55c\n houses", "a  house\n\n"]), pa.array([], pa.string()), pa.array(["a new house"])]
+    for kept in (pieces.KEPT, 6):
+        monkeypatch.setattr(pieces, "KEPT", kept)
+        coder, learned, learn = pieces.Coder(raw), [], pieces.Coder.learn
+        monkeypatch.setattr(coder, "learn", lambda units: learned.extend(units.to_pylist()) or learn(coder, units))
+        for texts in batches:
+            for x, y in zip(coder.encode(texts), pieces.Coder(raw).encode(texts), strict=True):
+                assert x.tolist() == y.tolist()
+        assert kept == 6 or len(learned) == len(set(learned)) > 5
+
+
 def test_pieces_odd(spark):
     d = odd(spark)
     got = pieces.encode(d)
