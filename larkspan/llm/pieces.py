@@ -140,9 +140,11 @@ class Coder:
     no piece but a byte has a line end, so no merge crosses the border of units. So runs of units, parted by line ends, go through both libraries
     at once; a run that either does not give back is tried unit by unit. Where the vocabulary or the normaliser does not allow that, and for
     texts with a literal marker, whole texts are encoded, decoded and compared.
+
+    judged: whether units are decoded and held against sentencepiece. Where they are not, every text is, whole, so no check is made twice.
     """
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, judged: bool = True):
         import sentencepiece
         from tokenizers import Tokenizer, decoders
 
@@ -152,10 +154,14 @@ class Coder:
         end = [i for i, (p, _, t) in enumerate(m.pieces) if t == BYTE and p == "<0x0A>"]
         self.by_units = m.words_part and not m.charsmap and not m.squeeze and m.byte_fallback and bool(end) and not any("\n" in p for p, _, _ in m.pieces)
         self.end = end[0] if end else -1
-        self.kept = None
+        self.kept, self.judged = None, judged
         # units are given as normalised text and keep their space
-        self.plain = Tokenizer(self.tok.model)
-        self.plain.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.plain, self.back = Tokenizer(self.tok.model), Tokenizer(self.tok.model)
+        steps = [decoders.ByteFallback(), decoders.Fuse()]
+        # where the marker is a piece, no text's byte pieces spell it, so it can be replaced once a text, not once a piece
+        steps.insert(2 if self.tok.token_to_id(MARK) is not None else 0, decoders.Replace(MARK, " "))
+        self.plain.decoder = decoders.Sequence(steps)
+        self.back.decoder = decoders.Sequence([*steps, *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
         self.split = re.compile(" +[^ \n]*|\n|[^ \n]+").findall
         self.head = len(self.judge.encode("\n")) if m.dummy_prefix else 0  # sentencepiece puts a space before a text, so it is asked behind a line end
 
@@ -176,19 +182,21 @@ class Coder:
         return self.kept[1], *(x[slot] for x in by_unit)
 
     def learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, number by unit, whether it decodes to itself, whether sentencepiece has the same ids) of distinct units."""
+        """(ids, number by unit, whether it decodes to itself, whether sentencepiece has the same ids) of distinct units; the last two are false where they are not judged."""
         runs = np.append(np.arange(0, len(units), RUN, dtype=np.int32), np.int32(len(units)))
         own = pc.if_else(pc.equal(units, "\n"), "", units)
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(runs), own), "\n")
-        ids, ok, same = [], np.ones(len(units), bool), np.ones(len(units), bool)
+        ids, ok, same = [], np.full(len(units), self.judged), np.full(len(units), self.judged)
         front = "\n" if self.head else ""
         for a in range(0, len(texts), RUNS):  # the libraries' results are large
             part = texts.slice(a, RUNS).to_pylist()
-            found = [e.ids for e in self.plain.encode_batch([t.replace(" ", MARK) for t in part], add_special_tokens=False)]
-            back = self.plain.decode_batch(found, skip_special_tokens=False)
-            judged = self.judge.encode([front + t for t in part], num_threads=1)
+            found = [e.ids for e in self.plain.encode_batch_fast([t.replace(" ", MARK) for t in part], add_special_tokens=False)]
+            back, judged = part, found
+            if self.judged:
+                back = self.plain.decode_batch(found, skip_special_tokens=False)
+                judged = [j[self.head :] for j in self.judge.encode([front + t for t in part], num_threads=1)]
             for r, (t, x, b, j) in enumerate(zip(part, found, back, judged, strict=True)):
-                if not (b == t and j[self.head :] == x and x.count(self.end) == runs[a + r + 1] - runs[a + r] - 1):
+                if not (b == t and j == x and x.count(self.end) == runs[a + r + 1] - runs[a + r] - 1):
                     at = slice(int(runs[a + r]), int(runs[a + r + 1]))
                     x, ok[at], same[at] = self.one_by_one(own[at].to_pylist(), front)
                 ids.append(np.array([*x, self.end], np.int32))
@@ -253,15 +261,15 @@ class Coder:
         again = whole | ~ok | ~same | (False if asked is None else asked)
         if again.any():
             ends = np.cumsum(number)
-            at = np.flatnonzero(again).tolist()
-            parts = [ids[ends[i] - number[i] : ends[i]] for i in range(len(n))]
-            given = [texts[i].as_py() for i in at]
-            for i, e in zip([i for i in at if whole[i]], self.tok.encode_batch([t for i, t in zip(at, given, strict=True) if whole[i]], add_special_tokens=False), strict=True):
+            parts = [ids[b - n : b] for b, n in zip(ends.tolist(), number.tolist(), strict=True)]
+            for i, e in zip(np.flatnonzero(whole).tolist(), self.tok.encode_batch(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False), strict=True):
                 parts[i] = np.array(e.ids, np.int32)
-            back = self.tok.decode_batch([parts[i].tolist() for i in at], skip_special_tokens=False)
-            for i, t, b, j in zip(at, given, back, self.judge.encode(given, num_threads=1), strict=True):
-                ok[i], same[i] = b == t, parts[i].tolist() == j
-            ids, number = np.concatenate(parts).astype(np.int32), np.array([len(p) for p in parts], np.int64)
+            for i in np.flatnonzero(again).tolist():  # one by one, as lists of ids are ten times as large
+                t = texts[i].as_py()
+                ok[i] = self.back.decode(parts[i].tolist(), skip_special_tokens=False) == t
+                same[i] = np.array_equal(parts[i], self.judge.encode(t, return_type="numpy"))
+            if whole.any():
+                ids, number = np.concatenate(parts).astype(np.int32), np.array([len(p) for p in parts], np.int64)
         return ids, number, ok, same
 
 
@@ -270,8 +278,8 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, check_every: i
 
     The model file is read once by the driver and sent along; its size is that of a vocabulary. Whole texts, in slices of bounded size, no special
     pieces added. Both checks hold for every text: unit by unit (see Coder), and over the whole text for those whose xxhash64 is divisible by
-    check_every, those with a unit that fails and those that are not parted. Null texts: all four null. Empty texts: no ids, true.
-    Repeated rows stay, an empty table stays empty; other columns are kept, whatever their names; the four replace columns of these names.
+    check_every, those with a unit that fails and those that are not parted. A check_every of 1 checks every text whole, and units not besides.
+    Null texts: all four null. Empty texts: no ids, true. Repeated rows stay, an empty table stays empty; other columns are kept, whatever their names; the four replace columns of these names.
     decoded_ok is false where a model's normaliser changes the text or the text has a literal marker.
     """
     from pyspark.sql import types as T
@@ -284,7 +292,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, check_every: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        coder = Coder(raw)
+        coder = Coder(raw, judged=check_every != 1)
         for whole in batches:
             for b in slices(whole, "text", 8192, 1 << 23):
                 texts = b.column("text")

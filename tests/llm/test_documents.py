@@ -372,6 +372,40 @@ def test_units_are_learned_once_by_a_coder(monkeypatch):
         assert kept == 6 or len(learned) == len(set(learned)) > 5
 
 
+def test_texts_checked_whole_are_not_checked_by_units_too():
+    """Where every text is checked whole, sentencepiece sees each text once, one at a time, and no units; ids and both checks are those of units and texts, and a wrong id is found."""
+    raw = open(pieces.MODEL, "rb").read()
+    batches = [pa.array(["a new house\nand more", "", " \ud55c odd\u2581mark", "\u2581", "a\x1fb  c\x00", "tail \n\n \U0001f600"]), pa.array(["more new \ud55c\n houses"]), pa.array([], pa.string())]
+    coder, seen = pieces.Coder(raw, judged=False), []
+    judge = coder.judge
+
+    class Judge:
+        def encode(self, given, **how):
+            seen.append(given)
+            return judge.encode(given, **how)
+
+    coder.judge = Judge()
+    for texts in batches:
+        asked = np.ones(len(texts), bool)
+        for x, y in zip(coder.encode(texts, asked), pieces.Coder(raw).encode(texts, asked), strict=True):
+            assert x.tolist() == y.tolist()
+    assert seen == [t for texts in batches for t in texts.to_pylist()]
+    # units that nobody has judged never count as right: their texts are checked whole, asked or not
+    seen.clear()
+    assert coder.encode(pa.array(["a new house"]))[3].all() and seen == ["a new house"]
+    coder.kept[1][:] += 1
+    ids, n, ok, same = coder.encode(pa.array(["a new house", "more"]), np.ones(2, bool))
+    assert not ok.any() and not same.any()
+
+
+def test_pieces_decoded_as_by_the_library():
+    """The decoder of the checks gives what the one of the tokenizer gives."""
+    coder = pieces.Coder(open(pieces.MODEL, "rb").read())
+    texts = ["", " ", "a  b\n\n \u2581c \U0001f600 \x00 \u00e9", "\u2581", "\u2581\u2581 x", " lead", "tail \t ", "</s> <0xE2><0x96><0x81>", "\u2580\u2582 \u0000\ud55c\u2581\U0001f600"]
+    found = [coder.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.back.decode_batch(found, skip_special_tokens=False) == coder.tok.decode_batch(found, skip_special_tokens=False)
+
+
 def test_pieces_odd(spark):
     d = odd(spark)
     got = pieces.encode(d)
