@@ -111,7 +111,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def _dealt(node: DataFrame, asks: bool) -> DataFrame:
-    """(key, kind, body, fp, sketch, root): the keys of each text. asks: with the Golay code's questions."""
+    """(key, kind, body, fp, sketch, root): the keys of each text. asks: with the Golay code's questions. Spark sizes it by the texts, far too low: its joins are asked to merge."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 2048):
@@ -137,7 +137,7 @@ def _first_edges(node: DataFrame) -> DataFrame:
     """(a, b): each text with the nearest and with the smallest of the ends (smallest and greatest body) of its keys."""
     dealt = _dealt(node, False)
     ends = dealt.groupBy("key").agg(F.min(F.struct("body", "fp", "sketch")).alias("low"), F.max(F.struct("body", "fp", "sketch")).alias("high")).where("low.body <> high.body")
-    x = dealt.join(ends, "key").select("kind", "body", "fp", "sketch", F.explode(F.array("low", "high")).alias("o"))
+    x = dealt.hint("merge").join(ends, "key").select("kind", "body", "fp", "sketch", F.explode(F.array("low", "high")).alias("o"))
     far = _far(F.col("kind"), F.col("fp"), F.col("o.fp"), F.col("sketch"), F.col("o.sketch"))
     x = x.where("body <> o.body").select(F.col("body").alias("a"), F.col("o.body").alias("b"), far.alias("far")).where("far is not null")
     x = x.groupBy("a").agg(F.min("b").alias("low"), F.min(F.struct("far", "b"))["b"].alias("near"))
@@ -148,7 +148,7 @@ def _mixed_keys(node: DataFrame) -> DataFrame:
     """The dealt rows of keys whose texts are in different groups."""
     dealt = _dealt(node, True)
     mixed = spool(dealt.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "keys")
-    mixed = F.broadcast(mixed) if mixed.limit(SMALL + 1).count() <= SMALL else mixed
+    mixed = F.broadcast(mixed) if mixed.limit(SMALL + 1).count() <= SMALL else mixed.hint("merge")
     return spool(dealt.join(mixed, "key", "left_semi"), "mixed")
 
 

@@ -147,7 +147,10 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different fingerprints (column fp, distinct and not null) that differ in at most 3 bits. The bits are compared inside the join."""
+    """(a, b): all pairs of different fingerprints (column fp, distinct and not null) that differ in at most 3 bits. The bits are compared inside the join.
+
+    Spark sizes the keys by the fingerprints' file, 100 times too low, and would broadcast the questions: the join is asked to merge.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 2048):
@@ -159,7 +162,7 @@ def links(prints: DataFrame) -> DataFrame:
     every = prints.select("fp").mapInArrow(run, "key long, fp long, asks boolean")
     a = every.where("not asks").select("key", F.col("fp").alias("a"))
     b = every.where("asks").select("key", F.col("fp").alias("b"))
-    return a.join(b, (a["key"] == b["key"]) & (a["a"] < b["b"]) & (F.bit_count(a["a"].bitwiseXOR(b["b"])) <= BITS)).select("a", "b").distinct()
+    return a.hint("merge").join(b, (a["key"] == b["key"]) & (a["a"] < b["b"]) & (F.bit_count(a["a"].bitwiseXOR(b["b"])) <= BITS)).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -172,10 +175,10 @@ def groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     seen = spool(fingerprint(docs.select("doc_id", "text"), shingle), "fingerprints")
     own = spool(seen.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
     tied = spool(stars(links(own)), "ties").select(F.col("a").alias("tied"), "root")
-    own = own.join(tied, own["fp"] == tied["tied"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    own = own.join(tied.hint("merge"), own["fp"] == tied["tied"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     first = own.groupBy("root").agg(F.min("low").alias("component_id"))
     named = own.join(first, "root").select(F.col("fp").alias("own_fp"), "component_id")
-    return seen.join(named, seen["fp"] == named["own_fp"]).select("doc_id", "fp", "component_id")
+    return seen.hint("merge").join(named, seen["fp"] == named["own_fp"]).select("doc_id", "fp", "component_id")
 
 
 def hexed(fp):

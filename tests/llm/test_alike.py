@@ -134,3 +134,10 @@ def test_repeated_ids(spark, rows, want):
     """No text is lost because rows share an id."""
     kept = {(r[0], r[1]) for r in alike.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {(i, t.lower()) for i, t in kept} == {(i, t.lower()) for i, t in want} and len(kept) == len(want)
+
+
+def test_dealt_keys_are_not_broadcast(spark, tmp_path):
+    """Spark sizes the dealt keys by the few bytes of the texts they are made of."""
+    spark.range(100).selectExpr("xxhash64(id) as body", "id as fp", "id as sketch", "binary(repeat('a', 192)) as bands", "id as root").write.parquet(str(tmp_path / "texts"))
+    plan = alike._first_edges(spark.read.parquet(str(tmp_path / "texts")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

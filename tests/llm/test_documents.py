@@ -257,6 +257,13 @@ def test_simhash_odd(spark):
     assert simhash.groups(empty(spark)).count() == 0
 
 
+def test_simhash_keys_are_not_broadcast(spark, tmp_path):
+    """Few bytes of fingerprints become a hundred times as many of keys, which Spark does not see."""
+    spark.range(1000).selectExpr("xxhash64(id) as fp").write.parquet(str(tmp_path / "prints"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "prints")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # mixing
 
 
