@@ -1,4 +1,4 @@
-"""Operator 5, near-duplicate vectors by a flat graph: robust-pruned on overlapping cluster shards, adjacency lists united, range-expanding greedy search from medoids, links verified in double precision."""
+"""Operator 5, near-duplicate vectors by a flat graph: robust-pruned on overlapping cluster shards, adjacency lists united, range-expanding greedy search from medoids, links verified in double precision; an exact check adds the links that the search has missed."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ SAMPLE, SHARE, CENTROIDS, OVERLAP = 8192, 1500, 1024, 3
 SHARD = 4096
 #: Neighbours looked at and the slack of robust pruning, random and medoid neighbours added, medoids, nodes expanded before the range phase.
 NEAR, ALPHA, RANDOM, MEDOIDS, STEPS = 32, 1.2, 4, 16, 40
+#: Vectors of a cell at most: the check of pairs without a common shard holds cell against cell.
+CELL = 16384
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -122,15 +124,111 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def slack(dims: int) -> float:
+    """What a cosine in single precision may lack at most."""
+    return 1e-4 + 2e-7 * dims
+
+
+def cells(sizes: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first cell, number of cells) of each of k clusters of these sizes, and the number of cells: small clusters share one, large ones are cut by the node."""
+    first, number, held, at = np.zeros(k, np.int64), np.ones(k, np.int64), CELL, -1
+    for c in range(k):
+        n = sizes.get(c, 0)
+        if n > CELL:
+            number[c] = -(-n // CELL)
+            first[c], at, held = at + 1, at + number[c], CELL
+        else:
+            if held + n > CELL:
+                at, held = at + 1, 0
+            first[c], held = at, held + n
+    return first, number, at + 1
+
+
+def needed(cosines: np.ndarray, home: np.ndarray, c: np.ndarray, link: float) -> np.ndarray:
+    """By vector and cluster, whether a vector of that cluster can have a cosine of `link` with it.
+
+    A vector is nearest to its own centroid, so it is on that side of the plane between two centroids; one linked to it is at most
+    sqrt(2 - 2 link) from it, and so from that side.
+    """
+    far = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+    reach = np.sqrt(max(0, 2 - 2 * link)) + 1e-6
+    return cosines[np.arange(len(home)), home][:, None] - cosines <= reach * far[home] + 1e-6
+
+
 def _vectors(t: pa.Table, name: str = "v") -> np.ndarray:
     c = t.column(name).combine_chunks()
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
+def apart(placed: DataFrame, at: dict[int, np.ndarray], link: float) -> DataFrame:
+    """(node, links, root) of the links between vectors without a common shard, exact. placed: of group(); at: centroids by length.
+
+    Each vector is in the cell of its nearest centroid and asks its own and the later cells that have a cluster it needs. The clusters of its
+    own shards it does not need: their vectors share these. A task holds two cells.
+    """
+    sizes: dict[int, dict[int, int]] = {}
+    for d, c, n in placed.where(F.col("dims").isin([d for d, c in at.items() if len(c) > OVERLAP])).groupBy("dims", "home").count().collect():  # at most CENTROIDS a length
+        sizes.setdefault(d, {})[c] = n
+    sent = placed.sparkSession.sparkContext.broadcast({d: (at[d], *cells(n, len(at[d]))) for d, n in sizes.items()})
+
+    def ask(batches):
+        for b in batches:
+            t = pa.table({n: b.column(n) for n in ("node", "dims", "v", "copies", "near", "home")})
+            for d in sorted(set(t.column("dims").to_pylist()) & sent.value.keys()):
+                own = t.filter(pc.equal(t.column("dims"), d))
+                c, first, number, n = sent.value[d]
+                home, near = own.column("home").to_numpy(), _vectors(own, "near")
+                want = needed(_unit(_vectors(own)) @ c.T, home, c, link)
+                want[np.arange(len(own))[:, None], near] = False
+                has = np.arange(n)[None, :] >= first[:, None]
+                has &= np.arange(n)[None, :] < (first + number)[:, None]
+                cell = first[home] + own.column("node").to_numpy() % number[home]
+                asked = (want.astype(np.float32) @ has.astype(np.float32) > 0) & (np.arange(n)[None, :] >= cell[:, None])
+                ends = np.concatenate(([0], np.cumsum(asked.sum(1)))).astype(np.int32)
+                own = own.append_column("cell", pa.array(cell.astype(np.int32)))
+                own = own.append_column("asks", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(asked)[1].astype(np.int32))))
+                yield from own.to_batches()
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        same = left.column("q_cell")[0].as_py() == left.column("q_ask")[0].as_py()
+        q, q_ids, q_copies, q_near, q_home = _unit(_vectors(left, "q_v")), left.column("q_node").to_numpy(), left.column("q_copies").to_numpy(), _vectors(left, "q_near"), left.column("q_home").to_numpy()
+        x, ids, copies, near, home = _unit(_vectors(right)), right.column("node").to_numpy(), right.column("copies").to_numpy(), _vectors(right, "near"), right.column("home").to_numpy()
+        x32, links, q_links, ties_a, ties_b = x.astype(np.float32).T, np.zeros(len(ids), np.int64), np.zeros(len(q_ids), np.int64), [], []
+        for a in range(0, len(q), 256):
+            s = q[a : a + 256].astype(np.float32) @ x32 >= link - slack(q.shape[1])
+            s &= q_home[a : a + 256, None] != home[None, :]
+            r, c = np.nonzero(s)
+            for i in range(0, len(r), 1 << 17):
+                rr, cc = r[i : i + (1 << 17)] + a, c[i : i + (1 << 17)]
+                sure = (np.einsum("ij,ij->i", q[rr], x[cc]) >= link) & ~(q_near[rr][:, :, None] == near[cc][:, None, :]).any((1, 2))
+                rr, cc = rr[sure], cc[sure]
+                np.add.at(q_links, rr, copies[cc])
+                if not same:  # in one cell both ask
+                    np.add.at(links, cc, q_copies[rr])
+                if len(rr):
+                    hit, place = np.unique(np.concatenate((q_ids[rr], ids[cc])), return_inverse=True)
+                    ties_a.append(hit)
+                    ties_b.append(hit[_roots(place[: len(rr)], place[len(rr) :], len(hit))])
+        ties_a, ties_b = (np.concatenate(t) if t else np.zeros(0, np.int64) for t in (ties_a, ties_b))
+        n, m = q_links > 0, links > 0
+        return pa.table({"node": np.concatenate((q_ids[n], ids[m], ties_a)), "links": np.concatenate((q_links[n], links[m], np.zeros(len(ties_a), np.int64))), "root": np.concatenate((q_ids[n], ids[m], ties_b))})
+
+    what = "node long, dims int, v array<double>, copies long, near array<int>, home int"
+    x = spool(placed.select("node", "dims", "v", "copies", "near", "home").mapInArrow(ask, f"{what}, cell int, asks array<int>"), "cells")
+    left = x.withColumn("ask", F.explode("asks")).drop("asks")
+    pairs = left.select("dims", F.col("cell").alias("asked"), "ask").distinct()  # of cells
+    right = x.drop("asks").withColumnRenamed("cell", "ask").join(F.broadcast(pairs), ["dims", "ask"])
+    left = left.toDF(*[f"q_{c}" for c in left.columns])
+    return left.groupBy("q_dims", "q_cell", "q_ask").cogroup(right.groupBy("dims", "asked", "ask")).applyInArrow(check, "node long, links long, root long")
+
+
 def group(rows: DataFrame, link: float = LINK) -> DataFrame:
     """One row per row of (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    n_links counts the other rows with a cosine of `link` or more that the search found; component_id is the smallest vec_id that links reach,
+    n_links counts the other rows with a cosine of `link` or more, all of them: what the search of a shard misses is found by a check of the shard,
+    pairs without a common shard by a check of cells of clusters, but for those that the planes between centroids rule out. component_id is the smallest vec_id that links reach,
     itself included; kept: vec_id = component_id. Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing: 0 links, their own component. Vectors of different lengths do not link. Equal vectors are one node of the graph, so that copies
     are counted, not paired. Rows with a null vec_id take part; a component of null ids only has a null id and kept is false.
@@ -151,15 +249,20 @@ def group(rows: DataFrame, link: float = LINK) -> DataFrame:
     def assign(batches):
         for b in batches:
             t = pa.table({"v": b.column("v"), "dims": b.column("dims")})
-            near = np.zeros((len(t), OVERLAP), np.int32)
+            near, home = np.zeros((len(t), OVERLAP), np.int32), np.zeros(len(t), np.int32)
             for d in set(t.column("dims").to_pylist()):
                 if (c := sent.value.get(d)) is not None and len(c) > 1:
                     mine = np.flatnonzero(t.column("dims").to_numpy() == d)
-                    near[mine] = np.sort(np.argpartition(-(_unit(_vectors(t.take(mine))) @ c.T), OVERLAP - 1, axis=1)[:, :OVERLAP] if len(c) > OVERLAP else np.tile(np.arange(OVERLAP), (len(mine), 1)), axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("dims"), b.column("v"), b.column("copies"), pa.array(list(near), pa.list_(pa.int32()))], names=["node", "dims", "v", "copies", "near"])
-
-    placed = spool(node.select("node", "dims", "v", "copies").mapInArrow(assign, "node long, dims int, v array<double>, copies long, near array<int>"), "placed")
-    member = placed.withColumn("shard", F.explode(F.array_distinct("near")))
+                    if len(c) > OVERLAP:
+                        s = _unit(_vectors(t.take(mine))) @ c.T
+                        near[mine] = np.sort(np.argpartition(-s, OVERLAP - 1, axis=1)[:, :OVERLAP], axis=1)
+                        home[mine] = near[mine, np.take_along_axis(s, near[mine], 1).argmax(1)]
+                    else:
+                        near[mine] = np.arange(OVERLAP)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("dims"), b.column("v"), b.column("copies"), pa.array(list(near), pa.list_(pa.int32())), pa.array(home)], names=["node", "dims", "v", "copies", "near", "home"])
+
+    placed = spool(node.select("node", "dims", "v", "copies").mapInArrow(assign, "node long, dims int, v array<double>, copies long, near array<int>, home int"), "placed")
+    member = placed.drop("home").withColumn("shard", F.explode(F.array_distinct("near")))
     sizes = member.groupBy("dims", "shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     member = spool(member.join(F.broadcast(sizes), ["dims", "shard"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")), "shards")
 
@@ -188,7 +291,9 @@ def group(rows: DataFrame, link: float = LINK) -> DataFrame:
         start = medoids(x)
         links, ties_a, ties_b = np.zeros(len(asked), np.int64), [], []
         for a in range(0, len(asked), 1024):
-            r, c = explore(graph, x, start, q[a : a + 1024], link - 1e-4)
+            every = q[a : a + 1024].astype(np.float32) @ x.astype(np.float32).T >= link - slack(x.shape[1])
+            every[explore(graph, x, start, q[a : a + 1024], link - 1e-4)] = True
+            r, c = np.nonzero(every)
             r += a
             sure = np.concatenate([np.einsum("ij,ij->i", q[r[i : i + (1 << 16)]], x[c[i : i + (1 << 16)]]) >= link for i in range(0, len(r), 1 << 16)] or [np.zeros(0, bool)]) & (asked[r] != ids[c])
             r, c = r[sure], c[sure]
@@ -210,6 +315,8 @@ def group(rows: DataFrame, link: float = LINK) -> DataFrame:
     asks = asks.select(*[F.col(c).alias(f"q_{c}") for c in (*key, "node", "v", "near")])
     found = graph.select(*key, "node", "v", "near", "copies", "next").groupBy(*key).cogroup(asks.groupBy(*[f"q_{c}" for c in key])).applyInArrow(search, "node long, links long, root long")
     found = spool(found, "found")
+    if any(len(c) > OVERLAP for c in at.values()):
+        found = found.unionAll(spool(apart(placed, at, link), "apart"))
     n_links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = spool(stars(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots").select(F.col("a").alias("node"), "root")
     node = node.join(n_links, "node", "left").join(roots, "node", "left").select("embedding", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))

@@ -61,6 +61,17 @@ def test_near_vectors(spark, monkeypatch, shard, share):
         assert nearvectors.audit(d.where("size(embedding) = 16"), got, asked=60) >= 0.9
 
 
+def test_near_vectors_across_shards(spark, monkeypatch):
+    """Links of vectors without a common shard are found too; clusters share a cell or are cut into several."""
+    for name, n in (("SHARD", 64), ("SHARE", 20), ("CELL", 40)):
+        monkeypatch.setattr(nearvectors, name, n, raising=False)
+    ids, x = planted(spark, 5)
+    rng = np.random.default_rng(6)
+    more = rng.normal(size=16) + rng.normal(size=(150, 16)) * 0.2
+    ids, x = [*ids, *range(len(ids), len(ids) + 150)], [*x, *more.astype(np.float32).tolist()]
+    assert {tuple(r) for r in nearvectors.group(frame(spark, ids, x)).collect()} == set(brute_links(ids, x))
+
+
 def test_near_vectors_empty(spark):
     assert nearvectors.group(frame(spark, [], [])).count() == 0
     got = nearvectors.group(frame(spark, [1, 2], [None, [0.0]])).collect()
