@@ -4,19 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.select import numeric
 
 DECILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+#: Parts (a power of two) that the distinct values of a column are cut into, so that no task holds them all.
+PARTS = 256
+
+
+def percentiles(df: DataFrame, columns: Iterable[str], qs: Iterable[float]) -> DataFrame:
+    """One row: for each column an array of its interpolated quantiles, as F.percentile gives them, NULL where no value is there.
+
+    F.percentile's one last task reads every task's distinct values. Here values are counted, cut into PARTS by approximate quantiles (which
+    only balance the parts), and ranked in their part behind the values of the parts before.
+    """
+    names, qs = list(columns), list(map(float, qs))
+    x = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)])).alias("x")).select("x.*").where("v is not null")
+    n = x.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    cuts = n.groupBy("i").agg(F.sort_array(F.percentile_approx("v", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), F.lit(4 * PARTS))).alias("cuts"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(PARTS.bit_length() - 1))])  # of a binary search for the number of cuts up to v
+    n = n.join(F.broadcast(cuts), "i").select("i", "v", "n", F.aggregate(steps, F.lit(0), lambda b, s: b + F.when(F.get("cuts", b + s - 1) <= F.col("v"), s).otherwise(0)).alias("b"))
+    whole = Window.partitionBy("i")
+    sums = n.groupBy("i", "b").agg(F.sum("n").alias("s"))  # PARTS rows a column
+    sums = sums.select("i", "b", F.coalesce(F.sum("s").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), (F.sum("s").over(whole) - 1).alias("most"))
+    x = n.join(F.broadcast(sums), ["i", "b"]).withColumn("end", F.col("before") + F.sum("n").over(Window.partitionBy("i", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def at(rank):
+        return F.max(F.when((rank < F.col("end")) & (rank >= F.col("end") - F.col("n")), F.col("v")))
+
+    found = []
+    for q in qs:
+        p = F.col("most") * F.lit(q)
+        low, high = at(F.floor(p)), at(F.ceil(p))
+        p = F.max("most") * F.lit(q)
+        found.append(F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high))
+    found = x.groupBy("i").agg(F.array(*found).alias("q"))
+    return found.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(c) for i, c in enumerate(names)])
 
 
 def describe(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """(column, count, valid, missing, mean, std, min, p10, p25, p50, p75, p90, max, mean_m): a row a column. mean_m: the mean between p10 and p90."""
     names = list(columns or numeric(df))
-    qs = {c: F.percentile(c, F.array(*map(F.lit, DECILES))) for c in names}
-    edges = df.agg(*[qs[c].alias(c) for c in names])
+    edges = percentiles(df, names, DECILES)
     x = df.select(*names).crossJoin(F.broadcast(edges.select(*[F.col(c).alias(f"_q_{c}") for c in names])))
     rows = []
     for c in names:
@@ -34,8 +65,8 @@ def statx(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column).cast("double")
     c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
     qs = (0.001, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999)
-    got = F.percentile(c, F.array(*map(F.lit, qs)))
-    return df.agg(F.min(c).alias("min"), got.alias("q"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.count(F.lit(1)).alias("count"), (F.count(F.lit(1)) - F.count(c)).alias("nans")).select("min", *[F.get("q", F.lit(i)).alias(f"q{str(p)[2:]}") for i, p in enumerate(qs)], "max", "mean", "std", "count", "nans")
+    got = percentiles(df.select(c.alias("q")), ["q"], qs)
+    return df.crossJoin(F.broadcast(got.select(F.col("q").alias("_q")))).agg(F.min(c).alias("min"), F.any_value("_q").alias("q"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.count(F.lit(1)).alias("count"), (F.count(F.lit(1)) - F.count(c)).alias("nans")).select("min", *[F.get("q", F.lit(i)).alias(f"q{str(p)[2:]}") for i, p in enumerate(qs)], "max", "mean", "std", "count", "nans")
 
 
 def reduce_columns(df: DataFrame, how: str, columns: Iterable[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.math import beside_groups
+from larkspan.functions.stats import percentiles
 
 #: Columns of a cross-table at most: their labels are read by the driver.
 WIDEST = 10_000
@@ -127,7 +128,7 @@ def _label(code: Column, names: list[str]) -> Column:
 
 def quantile_edges(df: DataFrame, column: str, q) -> list[float]:
     qs = [i / q for i in range(q + 1)] if isinstance(q, int) else list(q)
-    return df.agg(F.percentile(column, F.array(*map(F.lit, qs)))).first()[0] or []
+    return percentiles(df, [column], qs).first()[0] or []
 
 
 def qcut(df: DataFrame, column: str, q, name: str = "bin", label: str | None = None) -> DataFrame:

@@ -112,3 +112,14 @@ def test_membership(spark, df):
     other = spark.createDataFrame([("a", 9), ("a", 8)], "k string, o int")
     assert [(r["k"], r["member"], r["at"]) for r in joins.ismember(df, other, "k", index="at", order="o").orderBy("i").collect()] == [("a", True, 8), ("a", True, 8), ("b", False, None), ("b", False, None)]
     assert joins.isin(df, other, "k").count() == 2 and joins.isin(df, other, "k", negate=True).count() == 2
+
+
+def test_percentiles_hold_no_column_in_one_task(spark, monkeypatch):
+    """The same quantiles as F.percentile, for ties, missing and few values too, but no aggregate gathers a column's values."""
+    monkeypatch.setattr(stats, "PARTS", 8, raising=False)
+    df = spark.range(3000).selectExpr("id % 7 as few", "if(id % 5 = 0, null, cast(hash(id) as double)) as many", "cast(null as double) as none", "if(id = 9, -0.5D, null) as one", "if(id < 2900, 1D, id) as hot")
+    qs = [0, 0.1, 0.25, 0.333, 0.5, 0.9, 0.999, 1]
+    for d in (df, df.where("false")):
+        got, want = stats.percentiles(d, d.columns, qs).first(), d.agg(*[F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in d.columns]).first()
+        assert got == want
+    assert " percentile(" not in stats.describe(df)._jdf.queryExecution().optimizedPlan().toString().replace("[", " ")
